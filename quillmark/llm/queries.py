@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillmark.llm import bpe_roundtrip, license_scan, packing, quality_rules, token_codes, url_filter
+from quillmark.llm import bpe_roundtrip, license_scan, packing, quality_rules, token_codes, toxicity, url_filter, vector_neardup
 
 QUERIES = {
     "op1_token_codes": token_codes.op1_token_codes,
     "op3_packing": packing.op3_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_vector_neardup": vector_neardup.op5_vector_neardup,
     "op6_bpe_roundtrip": bpe_roundtrip.op6_bpe_roundtrip,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_license_scan": license_scan.op9_license_scan,

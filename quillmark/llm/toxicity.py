@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary
 windows.  Both classes' compressors start from the same ordinary background
-content, so that common vocabulary costs the same under both; before it lies
+content, so that common vocabulary costs the same under both; after it lies
 either the toxic dictionary or as many bytes of a second ordinary one.  The
 bytes by which a window is shorter with the toxic dictionary are its distance.
 A text's distances are calibrated to a probability on texts that the
@@ -25,6 +25,8 @@ from quillmark.llm.common import LOWER, LOWER_VALUE, doc_slices, span_hashes, te
 #: Stands before every window and ends both dictionaries: a window of a few
 #: bytes is then always stored compressed, and its length tells its cost.
 PRIMER = b"~~~~~~~~0123456789abcdefghijklmnopqrstuvwxyz~~~~~~~~"
+#: Stands after every window: the compressor looks for no matches in the last bytes.
+TAIL = b"\0" * 12
 WINDOW_BYTES = 64
 _LOWER_BYTES = bytes(LOWER.astype(np.uint8))
 _CACHE = 1 << 20
@@ -69,7 +71,7 @@ class WindowMeter:
 
     def _measure(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = data.tobytes()
-        parts = [PRIMER + b" " + raw[a:b].translate(_LOWER_BYTES) + b" " for a, b in zip(starts.tolist(), ends.tolist())]
+        parts = [PRIMER + b" " + raw[a:b].translate(_LOWER_BYTES) + b" " + TAIL for a, b in zip(starts.tolist(), ends.tolist())]
         size = np.fromiter(map(len, parts), np.uint64, len(parts))
         segments = np.stack([np.cumsum(size) - size, size], 1).astype("<u8").tobytes()
         windows = self.zstd.BufferWithSegments(b"".join(parts), segments)
@@ -114,7 +116,7 @@ N_FEATURES = 6
 
 def text_features(meter: WindowMeter, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """1, the largest distance (as itself and beyond 4), log counts of windows
-    at 3, 5 and more, and the log number of windows."""
+    at 4 and at 6 or more, and the log number of windows."""
     n = len(offsets) - 1
     distance, doc = meter.distances(data, offsets)
     out = np.zeros((n, N_FEATURES))
@@ -226,7 +228,7 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], background_byt
     half = max(1, len(runs) // 4)
     background = _train(runs[half:], background_bytes)
     other = _train(runs[:half], own_bytes)[: len(own)].ljust(len(own), b"\n")
-    return other + background, own + background
+    return background + other, background + own
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -88,12 +88,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 512, rec
                 close &= (gap > 0) & (gap <= window)
                 i, j = np.nonzero(close)
                 if len(i):
-                    # a star is enough for a component: keep each vector's first partner and its last
-                    first = np.unique(i, return_index=True)[1]
-                    last = np.append(first[1:], len(i)) - 1
-                    keep = np.unique(np.concatenate([first, last]))
-                    x, y = part_ids[i[keep]], every_ids[j[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                    # a star from each of the block's components says the same
+                    i, label = at[i], np.arange(len(every))
+                    while True:
+                        low = np.minimum(label[i], label[j])
+                        new = label.copy()
+                        np.minimum.at(new, i, low)
+                        np.minimum.at(new, j, low)
+                        new = new[new]
+                        if (new == label).all():
+                            break
+                        label = new
+                    member = np.flatnonzero(label != np.arange(len(every)))
+                    yield pa.RecordBatch.from_arrays([pa.array(every_ids[member]), pa.array(every_ids[label[member]])], names=["a", "b"])
                 mats, ids = every[-window:], every_ids[-window:]
 
     pairs = None

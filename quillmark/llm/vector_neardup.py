@@ -92,13 +92,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 512, rec
                     i, label = at[i], np.arange(len(every))
                     while True:
                         low = np.minimum(label[i], label[j])
-                        new = label.copy()
-                        np.minimum.at(new, i, low)
-                        np.minimum.at(new, j, low)
-                        new = new[new]
-                        if (new == label).all():
+                        down = label.copy()
+                        np.minimum.at(down, i, low)
+                        np.minimum.at(down, j, low)
+                        down = down[down]
+                        if (down == label).all():
                             break
-                        label = new
+                        label = down
                     member = np.flatnonzero(label != np.arange(len(every)))
                     yield pa.RecordBatch.from_arrays([pa.array(every_ids[member]), pa.array(every_ids[label[member]])], names=["a", "b"])
                 mats, ids = every[-window:], every_ids[-window:]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillmark.llm import bpe_roundtrip, license_scan, packing, quality_rules, token_codes, toxicity, url_filter, vector_neardup
+from quillmark.llm import bpe_roundtrip, license_scan, ngram_join, packing, quality_rules, token_codes, toxicity, url_filter, vector_neardup
 
 QUERIES = {
     "op1_token_codes": token_codes.op1_token_codes,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_vector_neardup": vector_neardup.op5_vector_neardup,

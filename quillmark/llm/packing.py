@@ -116,7 +116,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capa
             held = rest
 
         for batch in batches:
-            for doc, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+            for doc, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 held.append((doc, found + end, 0, len(found) // 4 + 1))
                 size += held[-1][3]
                 if size >= window * capacity:

@@ -125,7 +125,7 @@ def write_token_codes(docs: DataFrame, path: str, tokenizer: str, kind: str = to
             return pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, schema=schema)
 
         for batch in batches:
-            for doc, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
+            for doc, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 held.append(doc)
                 ids.append(found + end)
                 size += len(ids[-1]) // 4

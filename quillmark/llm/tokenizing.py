@@ -45,7 +45,7 @@ class UnitEncoder:
     text.
     """
 
-    def __init__(self, path: str, kind: str, entries: int = 600_000):
+    def __init__(self, path: str, kind: str, entries: int = 800_000):
         from tokenizers import Tokenizer
 
         gc.disable()  # no cycles here, and a collection walks all that is remembered
@@ -84,7 +84,7 @@ class UnitEncoder:
         """Ids of each unit."""
         if len(self.units) > self.entries:
             self.units.clear()
-        if len(self.pieces) > self.entries:
+        if len(self.pieces) > 2 * self.entries:  # they cost the library's time
             self.pieces.clear()
         known = self.units
         missing = [u for u in units if u not in known]
@@ -108,16 +108,15 @@ class UnitEncoder:
         units = (_WORDS if self.kind == WORD_LEVEL else _UNITS).findall(text)
         return b"".join(self._values(units)) if units else b""
 
-    def _group(self, texts: list[str]) -> list[bytes]:
-        column = pa.array(texts, pa.large_string())
+    def _group(self, column: pa.Array) -> list[bytes]:
         odd = pc.match_substring_regex(column, _CONTROL if self.kind == WORD_LEVEL else _UNEVEN).to_numpy(zero_copy_only=False)
         even = np.flatnonzero(~odd)
-        out: list[bytes] = [b""] * len(texts)
+        out: list[bytes] = [b""] * len(column)
         for i in np.flatnonzero(odd):
-            out[i] = self._one(texts[i])
+            out[i] = self._one(column[int(i)].as_py())
         if not len(even):
             return out
-        column = column.take(pa.array(even)) if len(even) < len(texts) else column
+        column = column.take(pa.array(even)) if len(even) < len(column) else column
         if self.kind == WORD_LEVEL:
             split = pc.utf8_split_whitespace(column)
         else:
@@ -155,15 +154,20 @@ class UnitEncoder:
             out[i] = ids[cuts[j] : cuts[j + 1]].tobytes()
         return out
 
-    def encode(self, texts: list[str | None], group_chars: int = 1 << 22):
-        """Yields the ids of one text after the other; a null is an empty text."""
+    def encode(self, texts, group_bytes: int = 1 << 23):
+        """Yields the ids of one text after the other; a null is an empty text.
+
+        texts: a list or an Arrow column.  Groups of about ``group_bytes`` are
+        cut into pieces, and their distinct pieces looked up, at a time.
+        """
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
         first = 0
-        while first < len(texts):
-            last, size = first, 0
-            while last < len(texts) and (size < group_chars or last == first):
-                size += len(texts[last] or "")
-                last += 1
-            yield from self._group([t or "" for t in texts[first:last]])
+        while first < len(column):
+            begun = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, begun + group_bytes, side="right")))
+            yield from self._group(column.slice(first, last - first))
             first = last
 
 

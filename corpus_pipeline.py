@@ -4,9 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from quillmark.llm.common import Scratch
+from quillmark.llm.line_dedup import dedup_lines
+from quillmark.llm.ngram_join import ngram_components
+from quillmark.llm.packing import packed_digest
+from quillmark.llm.quality_rules import fit_quality, keep_good
+from quillmark.llm.toxicity import fit_toxicity, keep_harmless
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose toxicity reaches the threshold."""
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return keep_harmless(docs, model)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rule or whose posterior quality is low."""
+    return keep_good(docs, fit_quality(docs))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated blocks of lines out of later documents; a document of
+    which nothing is left goes, n_chars follows the text."""
+    done = dedup_lines(docs)
+    left = done.where(~((F.col("lines_deleted") > 0) & ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        left = left.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    found = ngram_components(docs, size=5, threshold=80)
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left."""
+    return packed_digest(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("quality rules", quality), ("line dedup", lines), ("n-gram join", near_copies), ("packing", packing)]
 #: Learned verdicts and tokenizers: SQL cannot express these stages.
 ORACLE_SQL = None
 

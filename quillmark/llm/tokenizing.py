@@ -45,7 +45,7 @@ class UnitEncoder:
     text.
     """
 
-    def __init__(self, path: str, kind: str, entries: int = 800_000):
+    def __init__(self, path: str, kind: str, entries: int = 700_000):
         from tokenizers import Tokenizer
 
         gc.disable()  # no cycles here, and a collection walks all that is remembered

@@ -155,8 +155,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: n
         return np.concatenate([span_hashes(data, starts[a:b], ends[a:b], value) for a, b in zip(cuts[:-1], cuts[1:])])
     inner = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     weight = value[data[inner + np.repeat(starts, lengths)]]
-    if lengths.max() > _POWERS:  # position in blocks, each block's number mixed in
-        weight = mix(weight + (inner // _POWERS).astype(np.uint64)) | U64(1)
+    if lengths.max() > _POWERS:  # positions in blocks, the later blocks' numbers mixed in
+        far = np.flatnonzero(inner >= _POWERS)
+        weight[far] = mix(weight[far] + (inner[far] // _POWERS).astype(np.uint64)) | U64(1)
         inner = inner % _POWERS
     weight *= POWER[inner]
     sums = np.add.reduceat(weight, np.cumsum(lengths) - lengths)

@@ -36,7 +36,7 @@ def pack_codes(ids: np.ndarray) -> bytes:
         counts = np.zeros(blocks * (_BLOCK // 8), np.uint8)
         counts[: len(bitmap)] = _BITS[bitmap]
         ranks = np.zeros(blocks + 1, "<u4")
-        np.cumsum(counts.reshape(blocks, -1).sum(1, dtype=np.int64), out=ranks[1:], dtype="<u4")
+        np.cumsum(counts.reshape(blocks, _BLOCK // 8).sum(1, dtype=np.int64), out=ranks[1:], dtype="<u4")
         out += [struct.pack("<Q", len(rest)), (rest & 0xFF).astype(np.uint8).tobytes(), bitmap.tobytes(), ranks.tobytes()]
         rest, levels = rest[more] >> 8, levels + 1
         if not len(rest):

@@ -112,7 +112,7 @@ def index_keys(value: np.ndarray, df: np.ndarray, threshold: int, rare: int) ->
     return keys
 
 
-def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare: int = 16, block_bytes: int = 1 << 24, bucket_tokens: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare: int = 16, rounds: int = 4, block_bytes: int = 1 << 24, bucket_tokens: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Links: 100 * shared >= ``threshold`` * united tokens.  Texts with equal
@@ -124,9 +124,12 @@ def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare:
     each).  A block sends each token once, however many of its documents hold
     it, so no token meets one task more often than there are blocks; the counts
     come back by block and join its bucket without moving the sets again.
-    Frequent index entries are compared with one representative each; what
-    has no link to it meets the rest of its entry unless the triangle
-    inequality of the Jaccard distance or an equal component settles the pair.
+    The sets of an index entry are compared with a representative: the one with
+    the fewest tokens of its own, then, in up to ``rounds`` - 2 more rounds, one of
+    a component that has given none, while the entry still spans several.  What
+    is left then meets the rest of its entry unless the triangle inequality of
+    the Jaccard distance or an equal component settles the pair, so no link
+    between components is lost.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
@@ -237,7 +240,7 @@ def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare:
         df = np.concatenate([np.frombuffer(b, "<u4") for b in right["df"].to_pylist()]).astype(np.int64) if values else np.zeros(0, np.int64)
         order = np.argsort(token)
         token, df = token[order], df[order]
-        out = {"set_key": [], "n": [], "rep": [], "tokens": [], "keys": []}
+        out = {"set_key": [], "n": [], "alone": [], "rep": [], "tokens": [], "keys": []}
         for set_key, n, ids, blob in zip(*(left[c].to_pylist() for c in ("set_key", "n", "ids", "tokens"))):
             value = _unpack(blob)
             own = np.ones(len(value), np.int64)
@@ -249,48 +252,61 @@ def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare:
                 known = [i for i in ids if i is not None]
                 out["set_key"].append(set_key)
                 out["n"].append(n)
+                out["alone"].append(int((own <= 1).sum()))
                 out["rep"].append(min(known) if known else None)
                 out["tokens"].append(blob)
                 out["keys"].append(found)
-        kinds = {"set_key": pa.binary(), "n": pa.int64(), "rep": pa.int64(), "tokens": pa.binary(), "keys": pa.list_(pa.int64())}
+        kinds = {"set_key": pa.binary(), "n": pa.int64(), "alone": pa.int64(), "rep": pa.int64(), "tokens": pa.binary(), "keys": pa.list_(pa.int64())}
         return pa.table({k: pa.array(out[k], t) for k, t in kinds.items()})
 
-    chosen = sets.where("n > 0").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(choose, "set_key binary, n long, rep long, tokens binary, keys array<long>")
+    chosen = sets.where("n > 0").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(choose, "set_key binary, n long, alone long, rep long, tokens binary, keys array<long>")
     chosen = scratch.write(chosen, "chosen")
     # the same set from several blocks is one candidate; its number stands for the class
     members = sets.select("set_key", "n", F.explode("ids").alias("doc_id"))
     members = scratch.write(members, "members")
     one = Window.partitionBy("set_key").orderBy("rep")
     grouped = chosen.withColumn("one", F.row_number().over(one)).where("one = 1")
-    cands = scratch.write(grouped.select(F.monotonically_increasing_id().alias("cid"), "set_key", "n", "tokens", "keys"), "cands")
-    entries = cands.select("cid", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    cands = scratch.write(grouped.select(F.monotonically_increasing_id().alias("cid"), "set_key", "n", "alone", "tokens", "keys"), "cands")
+    entries = cands.select("cid", "n", "alone", F.explode(F.array_distinct("keys")).alias("key"))
     entries = scratch.write(entries, "entries")
 
-    # 4. verify against one representative, then what that leaves open --------
-    keyed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("cid", "n")).alias("head")).where("m > 1")
-    stars = entries.join(keyed, "key").where("cid <> head.cid").where(f"100 * least(n, head.n) >= {threshold} * greatest(n, head.n)")
-    stars = stars.select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct()
-    first = scratch.write(_verify(stars, cands), "first")
-    near = f"100 * shared >= {threshold} * united"
-    links = first.where(near).select("a", "b")
-    labels = scratch.write(connected_components(spark, links, scratch, "early"), "labels")
-
-    tagged = entries.join(keyed.select("key", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")), "key")
-    tagged = tagged.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    open_keys = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    known = first.select(F.col("a").alias("head"), F.col("b").alias("cid"), (1 - F.col("shared") / F.col("united")).alias("d"))
-    tagged = tagged.join(open_keys, "key", "left_semi").join(known, ["head", "cid"], "left")
-    # no distance: the sizes alone keep it from the representative
-    tagged = tagged.withColumn("d", F.when(F.col("cid") == F.col("head"), F.lit(0.0)).otherwise(F.col("d")))
-    tagged = scratch.write(tagged.select("key", "cid", "n", "component", "d"), "tagged")
+    # 4. stars around representatives, then whatever they leave open ------------
+    near, fits = f"100 * shared >= {threshold} * united", f"100 * least(n, head.n) >= {threshold} * greatest(n, head.n)"
     limit = 1 - threshold / 100
+    # the fewer tokens of its own a set has, the nearer it is to the middle of its copies
+    keyed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("alone", "cid", "n")).alias("head")).where("m > 1").drop("m")
+    stars = entries.join(keyed, "key").where("cid <> head.cid").where(fits)
+    first = scratch.write(_verify(stars.select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct(), cands), "first")
+    links = scratch.write(first.where(near).select("a", "b"), "links_0")
+    known = first.select(F.col("a").alias("h"), F.col("b").alias("cid"), (1 - F.col("shared") / F.col("united")).alias("d"))
+    # d, the distance to the first representative; none where sizes alone keep a set from it
+    tagged = entries.join(keyed.select("key", F.col("head.cid").alias("h")), "key").join(known, ["h", "cid"], "left")
+    tagged = tagged.select("key", "cid", "n", "alone", F.when(F.col("cid") == F.col("h"), F.lit(0.0)).otherwise(F.col("d")).alias("d"), (F.col("cid") == F.col("h")).alias("led"))
+    tagged = scratch.write(tagged, "tagged_0")
+    close = F.coalesce(F.abs(F.col("d") - F.col("head.d")) <= limit + 1e-9, F.lit(True))
+    for number in range(1, rounds + 1):
+        labels = scratch.write(connected_components(spark, links, scratch, f"cc_{number}"), f"labels_{number}")
+        open_ = _with_components(tagged, labels)
+        several = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        tagged = scratch.write(open_.join(several, "key", "left_semi"), f"tagged_{number}")
+        scratch.drop(f"tagged_{number - 1}", f"labels_{number}")
+        if number == rounds or tagged.isEmpty():
+            break
+        # the next representative comes from a component that has given none
+        parts = tagged.groupBy("key", "component").agg(F.max("led").alias("led"), F.min(F.struct("alone", "cid", "n", "d")).alias("own")).where("NOT led")
+        heads = parts.groupBy("key").agg(F.min(F.struct("own", "component")).alias("best")).select("key", F.col("best.own").alias("head"), F.col("best.component").alias("hc"))
+        heads = scratch.write(heads, f"heads_{number}")
+        pairs = tagged.join(heads, "key").where(F.col("component") != F.col("hc")).where(fits).where(close)
+        found = _verify(pairs.select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct(), cands).where(near).select("a", "b")
+        links = scratch.write(links.unionByName(found), f"links_{number}")
+        led = heads.select("key", F.col("head.cid").alias("cid"), F.lit(True).alias("now"))
+        tagged = tagged.drop("component").join(led, ["key", "cid"], "left").withColumn("led", F.col("led") | F.coalesce("now", F.lit(False))).drop("now")
     far = tagged.where(f"d IS NULL OR d > {limit}")
     l, r = far.alias("l"), tagged.alias("r")
     pair = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component"))
     pair &= F.coalesce(F.abs(F.col("l.d") - F.col("r.d")) <= limit + 1e-9, F.lit(True))
     pair &= 100 * F.least("l.n", "r.n") >= threshold * F.greatest("l.n", "r.n")
     rest = l.join(r, pair).select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
-    rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second = scratch.write(_verify(rest, cands).where(near).select("a", "b"), "second")
 
     # 5. components of classes, then of rows -----------------------------------
@@ -304,10 +320,15 @@ def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare:
     out = out.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     out = scratch.write(out, "result")
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    scratch.drop("sets", "chosen", "members", "cands", "entries", "first", "labels", "tagged", "second", "done", "classes")
+    scratch.drop("sets", "chosen", "members", "cands", "entries", "first", "second", *(f"{t}_{k}" for t in ("links", "tagged", "heads") for k in range(rounds + 1)), "done", "classes")
     return out
 
 
+def _with_components(tagged: DataFrame, labels: DataFrame) -> DataFrame:
+    out = tagged.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left")
+    return out.withColumn("component", F.coalesce("component", "cid"))
+
+
 def _verify(pairs: DataFrame, cands: DataFrame) -> DataFrame:
     """(a, b, shared, united) of candidate pairs, from their whole sets."""
 

@@ -164,7 +164,8 @@ def dedup_lines(docs: DataFrame, least_words: int = 20, id_column: str = "doc_id
     deleted = scratch.write(deleted, "deleted").select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("places").alias("__places"), F.col("blocks").alias("__blocks"))
     scratch.drop("lines", "pairs")
 
-    rows = docs.join(deleted, F.col(id_column).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col(text_column)) == F.col("__t")), "left")
+    # always by shuffling: a plan that changes with the size of what repeats could not be foreseen
+    rows = docs.join(deleted.hint("merge"), F.col(id_column).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(F.col(text_column)) == F.col("__t")), "left")
     texts = [f.name for f in docs.schema]
     place, marks = texts.index(text_column), len(texts)
 

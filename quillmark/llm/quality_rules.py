@@ -91,7 +91,7 @@ def rule_votes(s: dict[str, np.ndarray]) -> np.ndarray:
         _vote(upper > 0.6, np.zeros(len(words), bool)),
         _vote(loud > 0.4, np.zeros(len(words), bool)),
         _vote((dup > 0.3) & (s["n_dup_lines"] > 2), np.zeros(len(words), bool)),
-        _vote(repeated > 0.3, (repeated < 0.1) & (dup < 0.2) & (s["n_words"] >= 30)),
+        _vote(repeated > 0.3, (repeated < 0.1) & (dup < 0.2) & (s["n_words"] >= 30) & calm),
         _vote((length < 2) | (length > 20), (length > 3) & (length < 10) & calm),
         _vote(alpha < 0.5, np.zeros(len(words), bool)),
         _vote(s["n_words"] < 10, np.zeros(len(words), bool)),

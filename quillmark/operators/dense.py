@@ -2,42 +2,59 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A batch of query vectors goes to every task up to this many rows.
-MOST_QUERIES = 10_000
+#: So many queries go to every task at once; a larger set is gone through in blocks.
+QUERY_BLOCK = 10_000
+#: So many scores a task holds at once.
+SCORES = 1 << 22
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = 25) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``top`` inner products of each query.
+def _query_blocks(queries: DataFrame, size: int):
+    """(ids, matrix) of ``size`` queries after another; the driver reads one partition at a time."""
+    rows = queries.select("query_id", "vec").toLocalIterator()
+    while own := list(islice(rows, size)):
+        yield np.array([r["query_id"] for r in own], np.int64), np.array([r["vec"] for r in own], np.float64)
 
-    The batch (its size is checked) goes to every task; a task multiplies its
-    vectors with it block by block and keeps its own ``top``, so that only
-    those rows are shuffled.
-    """
-    rows = queries.select("query_id", "vec").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"a batch holds at most {MOST_QUERIES} queries; split it")
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    matrix = np.array([r["vec"] for r in rows], np.float64)
+
+def _best(ids: np.ndarray, matrix: np.ndarray, top: int):
+    """A task's own ``top`` rows for each query of a block."""
+    step = max(1, SCORES // len(ids))
 
     def best(batches):
         kept = None
-        for part in batches:
-            if not len(part) or not len(ids):
-                continue
-            scores = np.array(part["vec"].tolist(), np.float64) @ matrix.T
-            found = pd.DataFrame({"query_id": np.tile(ids, len(part)), "vec_id": np.repeat(part["vec_id"].to_numpy(), len(ids)), "score": scores.ravel()})
-            found = found if kept is None else pd.concat([kept, found])
-            found["key"] = found["score"].round(9)
-            kept = found.sort_values(["query_id", "key", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(top).drop(columns="key")
+        for batch in batches:
+            for a in range(0, len(batch), step):
+                part = batch.iloc[a : a + step]
+                scores = np.array(part["vec"].tolist(), np.float64) @ matrix.T
+                found = pd.DataFrame({"query_id": np.tile(ids, len(part)), "vec_id": np.repeat(part["vec_id"].to_numpy(), len(ids)), "score": scores.ravel()})
+                found = found if kept is None else pd.concat([kept, found])
+                found["key"] = found["score"].round(9)
+                kept = found.sort_values(["query_id", "key", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(top).drop(columns="key")
         if kept is not None:
             yield kept
 
-    local = vectors.select("vec_id", "vec").mapInPandas(best, "query_id long, vec_id long, score double")
+    return best
+
+
+def search(vectors: DataFrame, queries: DataFrame, top: int = 25, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``top`` inner products of each query.
+
+    The queries go to every task in blocks of ``query_block``, however many
+    there are; a task multiplies its vectors with a block and keeps its own
+    ``top``, so that only those rows are shuffled.
+    """
+    schema, local = "query_id long, vec_id long, score double", None
+    for ids, matrix in _query_blocks(queries, query_block):
+        found = vectors.select("vec_id", "vec").mapInPandas(_best(ids, matrix, top), schema)
+        local = found if local is None else local.unionByName(found)
+    if local is None:
+        local = vectors.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("vec_id"))
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -1,11 +1,13 @@
 """Ties, folds and rewrites on literal frames."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillmark.config import RetrievalConfig
 from quillmark.functions import answers, text as T
-from quillmark.operators import audit, chunking, fusion, lexical, store
+from quillmark.operators import audit, chunking, dense, fusion, lexical, store
+from quillmark.plans import registry
 from quillmark.streaming import deltas
 
 
@@ -128,3 +130,28 @@ def test_stream_index_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     got = sorted((r["doc_id"], r["term"], r["tf"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, "a", 2), (1, "b", 1), (2, "b", 1), (2, "c", 1)]
+
+
+def test_search_goes_through_queries_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((150, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, vec array<double>").repartition(3)
+    q = v.withColumnRenamed("vec_id", "query_id")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in dense.search(v, q, 3, query_block=40).collect()}
+    want = np.argsort(-(x @ x.T), axis=1)[:, :3]
+    assert got == {(i, k + 1): want[i, k] for i in range(150) for k in range(3)}
+    assert dense.search(v, q.where("false"), 3).count() == 0
+
+
+def test_search_takes_more_queries_than_a_block(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, vec array<double>")
+    q = spark.range(10_500).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("vec"))
+    assert dense.search(v, q, 1).where("vec_id = 1").count() == 10_500
+
+
+def test_ann_search_asks_every_hundredth_id(spark, tmp_path):
+    x = np.random.default_rng(6).standard_normal((1_250, 8))
+    rows = [(i, (r / np.linalg.norm(r)).tolist()) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    asked = {r["query_id"] for r in registry.QUERIES["ann_search"](spark, str(tmp_path)).select("query_id").distinct().collect()}
+    assert asked == set(range(0, 1_250, 100))

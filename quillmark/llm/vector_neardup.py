@@ -29,7 +29,28 @@ def passes_needed(n: int, window: int, cosine: float, recall: float) -> int:
     return 1 if meets > 0.999 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 512, recall: float = 0.995, hash_bits: int = 48, seed: int = 11, id_column: str = "vec_id", vector_column: str = "embedding", block: int = 1024) -> DataFrame:
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def _stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, centres): a star for each component of the pairs (i, j) of ``n`` rows."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        down = label.copy()
+        np.minimum.at(down, i, low)
+        np.minimum.at(down, j, low)
+        down = down[down]
+        if (down == label).all():
+            break
+        label = down
+    member = np.flatnonzero(label != np.arange(n))
+    return member, label[member]
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 512, recall: float = 0.995, hash_bits: int = 48, seed: int = 11, id_column: str = "vec_id", vector_column: str = "embedding", block: int = 1024, chunk: int = 8192) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Equal vectors are one class (their smallest id stands for it).  Each pass
@@ -37,7 +58,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 512, rec
     one number, cuts the order into ranges that overlap by ``window`` places
     and compares each class with its next ``window`` neighbours in double
     precision.  The number of passes follows from the number of classes and
-    ``recall``.  Verified pairs of all passes form components; links all lie
+    ``recall``, as if the classes were spread evenly.  Where they are not, a row
+    shares more bits with its whole window; each pass measures how many, which
+    gives the chance that the row has met a neighbour at ``cosine`` in any pass.
+    Rows whose chance is below ``recall`` are crowded: all of them are compared
+    with each other in blocks of ``chunk``, exactly.  A pair with one row that is
+    not crowded has that row's chance.  Verified pairs of all passes form components; links all lie
     within a component, so n_links is counted there against every member, in
     blocks.  Vectors that are null, empty, zero or hold a null or non-finite
     component, or differ in length from the most frequent one, link with
@@ -71,14 +97,22 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 512, rec
 
         return run
 
-    def neighbours(batches):
-        """Pairs within ``window`` places; a range is sorted, its last rows come again at the next one's head."""
-        ids, mats = np.zeros(0, np.int64), np.zeros((0, width))
+    def neighbours(number: int):
+        return lambda batches: _neighbours(batches, number)
+
+    def measured(ids, shared, number):
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(n, pa.int64()), pa.array(np.full(n, number, np.int32)), pa.array(shared.astype(np.int32))], names=found_names)
+
+    def _neighbours(batches, number):
+        """Pairs within ``window`` places; a range is sorted, its last rows come again at the next one's head.
+        Then every row's leading bits that a row ``window`` places away shares, -1 if there is none."""
+        ids, mats, codes, shared = np.zeros(0, np.int64), np.zeros((0, width)), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            new = _matrix(batch.column(1))
-            new = new / np.abs(new).max(axis=1, keepdims=True)
-            new /= np.sqrt((new * new).sum(axis=1, keepdims=True))
-            new_ids = batch.column(0).to_numpy()
+            if not batch.num_rows:
+                continue
+            new = _unit(_matrix(batch.column(1)))
+            new_ids, new_codes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a in range(0, len(new), window):
                 part, part_ids = new[a : a + window], new_ids[a : a + window]
                 every, every_ids = np.concatenate([mats, part]), np.concatenate([ids, part_ids])
@@ -89,20 +123,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 512, rec
                 i, j = np.nonzero(close)
                 if len(i):
                     # a star from each of the block's components says the same
-                    i, label = at[i], np.arange(len(every))
-                    while True:
-                        low = np.minimum(label[i], label[j])
-                        down = label.copy()
-                        np.minimum.at(down, i, low)
-                        np.minimum.at(down, j, low)
-                        down = down[down]
-                        if (down == label).all():
-                            break
-                        label = down
-                    member = np.flatnonzero(label != np.arange(len(every)))
-                    yield pa.RecordBatch.from_arrays([pa.array(every_ids[member]), pa.array(every_ids[label[member]])], names=["a", "b"])
-                mats, ids = every[-window:], every_ids[-window:]
-
+                    member, centre = _stars(at[i], j, len(every))
+                    n = len(member)
+                    yield pa.RecordBatch.from_arrays([pa.array(every_ids[member]), pa.array(every_ids[centre]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=found_names)
+                every_codes = np.concatenate([codes, new_codes[a : a + window]])
+                shared = np.concatenate([shared, np.full(len(part), -1)])
+                far = at[at >= window]
+                same = order_bits - np.frexp((every_codes[far] ^ every_codes[far - window]).astype(np.float64))[1]
+                np.maximum.at(shared, far, same)
+                np.maximum.at(shared, far - window, same)
+                if len(every) > window:
+                    yield measured(every_ids[:-window], shared[:-window], number)
+                mats, ids, codes, shared = every[-window:], every_ids[-window:], every_codes[-window:], shared[-window:]
+        yield measured(ids, shared, number)
+
+    found_names = ["a", "b", "number", "shared"]
     pairs = None
     for number in range(passes_needed(classes, window, cosine, recall) if classes > 1 else 0):
         coded = groups.select("cid", "v").mapInArrow(sketch(number), "cid long, v array<double>, code long")
@@ -121,10 +156,25 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 512, rec
             heads = dealt.withColumn("n", F.row_number().over(_by_part())).where(F.col("n") <= window).where("part > 0").select("cid", "v", "code", (F.col("part") - 1).alias("part"))
             both = dealt.select("cid", "v", "code", "part").unionByName(heads)
             ranged = both.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "code", "cid")
-        found = ranged.select("cid", "v").mapInArrow(neighbours, "a long, b long")
+        found = ranged.select("cid", "v", "code").mapInArrow(neighbours(number), "a long, b long, number int, shared int")
         pairs = found if pairs is None else pairs.unionByName(found)
     if pairs is None:
         pairs = spark.createDataFrame([], "a long, b long")
+    else:
+        found = scratch.write(pairs, "found")
+        # -log of the chance to miss a neighbour in a pass, by the bits shared across the window
+        agrees = 1 - math.acos(cosine) / math.pi
+        sure = [-math.log(max(1e-300, 1 - agrees**bits)) for bits in range(order_bits + 1)] + [0.0]
+        chance = F.element_at(F.array(*[F.lit(x) for x in sure]), F.col("shared") + 2)
+        rows_seen = found.where("b IS NULL").repartition("a").groupBy("a", "number").agg(F.max("shared").alias("shared"))
+        open_ = rows_seen.groupBy("a").agg(F.sum(chance).alias("sure")).where(F.col("sure") < -math.log(1 - recall))
+        crowded = scratch.write(groups.select("cid", "v").join(open_.select(F.col("a").alias("cid")), "cid", "left_semi"), "crowded")
+        chunks = math.ceil(crowded.count() / chunk)
+        pairs = found.where("b IS NOT NULL").select("a", "b")
+        if chunks:
+            dealt = crowded.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.lit(chunks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+            dealt = dealt.select("cid", "v", "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
+            pairs = pairs.unionByName(dealt.groupBy("x", "y").applyInArrow(_all_pairs(cosine, block), "a long, b long"))
     components = connected_components(spark, pairs, scratch)
     components = scratch.write(components.withColumnRenamed("id", "cid"), "components")
     linked = groups.join(components, "cid")
@@ -154,13 +204,36 @@ def _by_component():
     return Window.partitionBy("component")
 
 
+def _all_pairs(cosine: float, block: int):
+    """Stars of the pairs between two chunks, or within one, tile by tile."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        m = _unit(_matrix(table["v"].combine_chunks()))
+        cid, chunk, x, y = (table[c].to_numpy() for c in ("cid", "chunk", "x", "y"))
+        one = x[0] == y[0]
+        left = np.flatnonzero(chunk == x[0])
+        right = left if one else np.flatnonzero(chunk == y[0])
+        ends, centres = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(left), block):
+            for b in range(a if one else 0, len(right), block):
+                own, their = left[a : a + block], right[b : b + block]
+                i, j = np.nonzero(m[own] @ m[their].T >= cosine)
+                member, centre = _stars(i, j + len(own), len(own) + len(their))
+                both = np.concatenate([cid[own], cid[their]])
+                ends.append(both[member])
+                centres.append(both[centre])
+        ends, centres = np.concatenate(ends), np.concatenate(centres)
+        differ = ends != centres
+        return pa.table({"a": pa.array(ends[differ]), "b": pa.array(centres[differ])})
+
+    return compare
+
+
 def _link_counter(cosine: float):
     """Counts links between two chunks of a component, or within one."""
 
     def count(table: pa.Table) -> pa.Table:
-        m = _matrix(table["v"].combine_chunks())
-        m = m / np.abs(m).max(axis=1, keepdims=True)
-        m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+        m = _unit(_matrix(table["v"].combine_chunks()))
         cid, copies, chunk, x, y = (table[c].to_numpy() for c in ("cid", "copies", "chunk", "x", "y"))
         if x[0] == y[0]:
             close = m @ m.T >= cosine

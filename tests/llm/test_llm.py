@@ -273,6 +273,26 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(len(rows) - 6, len(rows)))
 
 
+def test_vectors_in_a_hot_cluster(spark):
+    """A third of the rows at a cosine of 0.8 with each other, pairs at 0.91 among them."""
+    rng = np.random.default_rng(2)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    aside = lambda m: unit(m - np.outer(m @ centre, centre))
+    own = aside(rng.standard_normal((1_000, 64)))
+    other = rng.standard_normal((1_000, 64))
+    other = aside(other - (other * own).sum(1, keepdims=True) * own)
+    twin = unit(0.55 * own + np.sqrt(1 - 0.55**2) * other)
+    hot = unit(np.concatenate([0.8**0.5 * centre + 0.2**0.5 * own, 0.8**0.5 * centre + 0.2**0.5 * twin]))
+    x = np.concatenate([hot, unit(rng.standard_normal((4_000, 64)))])
+    close = x[:2_000] @ x[:2_000].T >= 0.9
+    np.fill_diagonal(close, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in vector_neardup.near_vectors(df, window=64, chunk=700).collect()}
+    assert close.sum() > 1_500
+    assert [got[i] for i in range(2_000)] == close.sum(1).tolist()
+
+
 def test_vectors_odd(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_neardup.near_vectors(empty).count() == 0

@@ -67,6 +67,30 @@ def train_cells(vectors: DataFrame, cells: int, seed: int = 7):
     return KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features").fit(vectors.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features")))
 
 
+def cell_order(matrix: np.ndarray, centers: np.ndarray, probes: int | None = None) -> np.ndarray:
+    """Each row's cells, the nearest first."""
+    distance = (centers**2).sum(1) - 2 * matrix @ centers.T
+    return np.argsort(distance, axis=1, kind="stable")[:, :probes].astype(np.int32)
+
+
+def probes_needed(vectors: DataFrame, model, recall: float = 0.95, sample: int = 256, top: int = 25) -> int:
+    """The fewest probes at which a sample of the vectors, asked against all, has ``recall`` of its exact ``top``."""
+    from pyspark.ml.functions import array_to_vector
+
+    centers = np.array(model.clusterCenters())
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "vec").orderBy(F.xxhash64("vec_id")).limit(sample)
+    asked = vectors.sparkSession.createDataFrame([(r["query_id"], [float(x) for x in r["vec"]]) for r in asked.collect()], "query_id long, vec array<double>")
+    found = search(vectors, asked, top).select("query_id", "vec_id").join(vectors.select("vec_id", "vec"), "vec_id")
+    found = model.transform(found.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))).select("query_id", F.col("prediction").alias("cell"))
+    rows = asked.collect()
+    if not rows:
+        return len(centers)
+    order = cell_order(np.array([r["vec"] for r in rows]), centers)
+    place = {r["query_id"]: np.argsort(own) for r, own in zip(rows, order)}
+    depths = np.sort([place[r["query_id"]][r["cell"]] for r in found.collect()])
+    return int(depths[int(np.ceil(recall * len(depths))) - 1]) + 1
+
+
 def search_cells(vectors: DataFrame, queries: DataFrame, model, probes: int, top: int = 25) -> DataFrame:
     """Approximate search: each query meets the vectors of its ``probes`` nearest cells."""
     from pyspark.ml.functions import array_to_vector
@@ -76,9 +100,7 @@ def search_cells(vectors: DataFrame, queries: DataFrame, model, probes: int, top
 
     @F.pandas_udf("array<int>")
     def near(vec: pd.Series) -> pd.Series:
-        m = np.array(vec.tolist(), float)
-        distance = ((m[:, None, :] - centers[None]) ** 2).sum(-1)
-        return pd.Series(list(np.argsort(distance, axis=1)[:, :probes].astype(np.int32)))
+        return pd.Series(list(cell_order(np.array(vec.tolist(), float), centers, probes)))
 
     from quillmark.functions.text import inner_product
 

@@ -248,9 +248,11 @@ def dense_self_recall(spark, sf):
 
 @query()
 def ann_search(spark, sf):
-    """Coarse cells, the nearest of them probed, exact scores within; every hundredth id asks."""
+    """Coarse cells, as many as the root of the number of vectors, the nearest of them probed, exact scores within; every
+    hundredth id asks.  A sample asked exactly says how many probes give its recall."""
     v = C.vectors(spark, sf)
-    return dense.search_cells(v, v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), dense.train_cells(v, 16), probes=8)
+    model = dense.train_cells(v, max(16, round(v.count() ** 0.5)))
+    return dense.search_cells(v, v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), model, dense.probes_needed(v, model))
 
 
 @query(f"WITH {HYBRID} SELECT query_id, chunk_id, round(rrf, 9) AS rrf, round(bm25_score, 6) AS bm25_score, round(dense_score, 6) AS dense_score, bm25_rank, dense_rank, fused_pos FROM fused")

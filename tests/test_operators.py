@@ -1,5 +1,7 @@
 """Ties, folds and rewrites on literal frames."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmark.config import RetrievalConfig
 from quillmark.functions import answers, text as T
 from quillmark.operators import audit, chunking, dense, fusion, lexical, store
-from quillmark.plans import registry
+from quillmark.plans import corpus as C, registry
 from quillmark.streaming import deltas
 
 
@@ -155,3 +157,16 @@ def test_ann_search_asks_every_hundredth_id(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     asked = {r["query_id"] for r in registry.QUERIES["ann_search"](spark, str(tmp_path)).select("query_id").distinct().collect()}
     assert asked == set(range(0, 1_250, 100))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_search_recall(spark, sf):
+    path = f"/root/testdata/{sf}"
+    if not os.path.isdir(path):
+        pytest.skip("no test data here")
+    v = C.vectors(spark, path)
+    found = registry.QUERIES["ann_search"](spark, path).select("query_id", "vec_id")
+    exact = dense.search(v, v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")).select("query_id", "vec_id")
+    recall = exact.join(found, ["query_id", "vec_id"]).count() / exact.count()
+    print(f"ann_search recall@25 on {sf}: {recall:.4f}")
+    assert recall >= 0.9

@@ -55,6 +55,27 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def longest_run(a: list[int], b: list[int], words: list[int]) -> list[tuple[int, int]]:
+    """The run of equal lines with the most words, however often its lines stand in either document."""
+    places: dict[int, list[int]] = {}
+    for i, line in enumerate(a):
+        places.setdefault(line, []).append(i)
+    most, best, before = 0, (0, 0, 0), {}
+    for j, line in enumerate(b):
+        now = {}
+        if line:
+            for i in places.get(line, ()):
+                length, total = before.get(i - 1, (0, 0))
+                now[i] = length + 1, total + words[j]
+                if total + words[j] > most:
+                    most, best = total + words[j], (i, j, length + 1)
+        else:  # blank lines carry a run on, they begin none
+            now = {i + 1: (length + 1, total) for i, (length, total) in before.items() if i + 1 < len(a) and not a[i + 1]}
+        before = now
+    i, j, length = best
+    return [(i - k, j - k) for k in range(length - 1, -1, -1)]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places (i, j) of two documents' lines, by patience diff."""
     found: list[tuple[int, int]] = []
@@ -91,8 +112,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int) -> list[tuple[int, int]]:
     """Ranges of b's lines that stand, line by line, in a too and hold at least
     ``least_words`` words.  What one alignment leaves is aligned again, so a
-    block in another order is found as well."""
-    a, b = list(a), list(b)
+    block in another order is found as well.  An alignment that finds nothing,
+    as where lines repeat, is followed by the run with the most words anywhere;
+    a's lines stay, so a block that b holds twice is found twice."""
+    held, b = set(a), list(b)
     blocks: list[tuple[int, int]] = []
     while True:
         new, run = [], []
@@ -107,12 +130,16 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int
             if run and sum(words[r[1]] for r in run) >= least_words:
                 new.append(run)
             run = [(i, j)]
+        if not new and sum(w for line, w in zip(b, words) if line in held) >= least_words:
+            run = longest_run(a, b, words)
+            if sum(words[j] for _, j in run) >= least_words:
+                new.append(run)
         if not new:
             return sorted(blocks)
         for run in new:
             blocks.append((run[0][1], run[-1][1] + 1))
-            for k, (i, j) in enumerate(run):  # values that equal nothing
-                a[i], b[j] = -2 - 2 * len(blocks) * 10**6 - 2 * k, -3 - 2 * len(blocks) * 10**6 - 2 * k
+            for _, j in run:
+                b[j] = -2  # hashes are odd or 0, so it equals nothing
 
 
 def dedup_lines(docs: DataFrame, least_words: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

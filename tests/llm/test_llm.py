@@ -322,6 +322,27 @@ def test_line_dedup(spark):
     assert out[90]["text"] == "" and out[92]["text"] == "All rights reserved."
 
 
+def test_patience_of_repeated_lines():
+    passage = [5, 6, 7, 8]
+    early, late = [1, *passage, 2, *passage, 3], [11, *passage, 12, *passage, 13]
+    blocks = line_dedup.common_blocks(early, late, [10] * len(late), 20)
+    assert sorted(k for x, y in blocks for k in range(x, y)) == [1, 2, 3, 4, 6, 7, 8, 9]
+    assert line_dedup.common_blocks(early, [21, *passage, 22], [10] * 6, 20) == [(1, 5)]
+    assert line_dedup.common_blocks([21, *passage, 22], late, [10] * len(late), 20) == [(1, 5), (6, 10)]
+    assert line_dedup.common_blocks([1, 9, 2, 9, 3, 5, 6], [5, 6, 1, 9, 9, 2, 8, 3], [10, 10, 9, 1, 1, 9, 9, 9], 20) == [(0, 2)]
+    assert line_dedup.common_blocks([1, 9, 2, 9, 3], [11, 9, 12], [60] * 3, 20) == [(1, 2)]
+    assert line_dedup.common_blocks([31, 5, 0, 6, 32, 5, 0, 6, 33], [41, 5, 0, 6, 42], [0, 10, 0, 10, 0], 20) == [(1, 4)]
+
+
+def test_line_dedup_passage_twice(spark):
+    passage = "\n".join(f"this is line number {i} of a passage which stands twice here" for i in range(4))
+    twice = lambda i: f"own opening {i}\n{passage}\nown middle {i}\n{passage}\nown ending {i}"
+    df = spark.createDataFrame([(1, twice(1)), (2, twice(2)), (3, f"head\n{passage}\nfoot")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert out[1]["text"] == twice(1) and out[3]["text"] == "head\nfoot"
+    assert out[2]["text"] == "own opening 2\nown middle 2\nown ending 2"
+
+
 def test_line_dedup_odd(odd, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "lines_total", "lines_deleted", "blocks_deleted"]

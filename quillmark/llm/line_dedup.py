@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -148,8 +150,12 @@ def dedup_lines(docs: DataFrame, least_words: int = 20, id_column: str = "doc_id
     Adds ``lines_total``, ``lines_deleted`` and ``blocks_deleted``.  Of two
     documents the one with the larger id is the later (a null id comes first;
     equal ids by a hash of their texts; equal rows are one document).  A line's
-    earliest holder stands for all its holders, which makes one pair for each
-    later holder however frequent the line is.  Each pair is aligned on its
+    earliest holder stands for all its holders, and so does the earliest holder
+    of a run: from each line the shortest run of lines (as they are, blank ones
+    too) that holds ``least_words`` words.  A block that two documents share
+    holds such a run, so its earliest holder is met whatever its single lines'
+    holders are; each later holder makes one pair for a line and one for a run
+    at most, however frequent they are.  Each pair is aligned on its
     own; blocks with fewer than ``least_words`` words stay, and so do a line's
     occurrences in its earliest holder.  A null text has no lines.
     """
@@ -167,6 +173,23 @@ def dedup_lines(docs: DataFrame, least_words: int = 20, id_column: str = "doc_id
                     names=["d", "t", "hashes", "words"],
                 )
 
+    def runs(batches):
+        """Hash of the shortest run of ``least_words`` words that begins at each line with words."""
+        for batch in batches:
+            out = []
+            for hashes, words in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found, total, y = set(), 0, 0
+                for x in range(len(hashes)):
+                    while y < len(hashes) and total < least_words:
+                        total, y = total + words[y], y + 1
+                    if total < least_words:
+                        break
+                    if hashes[x] and y > x + 1:  # a single line is its own run
+                        found.add(int.from_bytes(blake2b(array("q", hashes[x:y]).tobytes(), digest_size=8).digest(), "little", signed=True))
+                    total -= words[x]
+                out.append(sorted(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["d", "t", "runs"])
+
     def align(batches):
         for batch in batches:
             own = batch.select(["d", "t", "a", "b", "words"]).to_pydict()
@@ -179,6 +202,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 20, id_column: str = "doc_id
     lines = docs.where(F.length(text_column) > 0).select(*key, F.col(text_column).alias("text"))
     lines = scratch.write(lines.mapInArrow(split, "d long, t long, hashes array<long>, words array<int>"), "lines")
     held = lines.select("d", "t", F.explode(F.array_distinct("hashes")).alias("h")).where("h <> 0")
+    held = held.unionByName(lines.select("d", "t", "hashes", "words").mapInArrow(runs, "d long, t long, runs array<long>").select("d", "t", F.explode("runs").alias("h")))
     heads = held.groupBy("h").agg(F.min(F.struct("d", "t")).alias("head"), F.max(F.struct("d", "t")).alias("tail")).where("NOT (head <=> tail)").select("h", "head")
     pairs = held.join(heads, "h").where("NOT (head <=> struct(d, t))").select("d", "t", F.col("head.d").alias("hd"), F.col("head.t").alias("ht")).distinct()
     pairs = scratch.write(pairs, "pairs")

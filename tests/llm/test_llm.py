@@ -343,6 +343,16 @@ def test_line_dedup_passage_twice(spark):
     assert out[2]["text"] == "own opening 2\nown middle 2\nown ending 2"
 
 
+def test_line_dedup_run_of_frequent_lines(spark):
+    lines = [f"frequent line {i} has ten words in it as counted" for i in range(3)]
+    block = "\n".join([lines[0], "", *lines[1:]])
+    rows = [(i, f"opening of {i}\n{line}\nending of {i}") for i, line in enumerate(lines)]
+    rows += [(10, f"opening b\n{block}\nending b"), (11, f"opening c\n{block}\nending c"), (12, f"opening d\n{block}\nending d")]
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(out[i]["text"] == text for i, text in rows[:4])
+    assert out[11]["text"] == "opening c\nending c" and out[12]["text"] == "opening d\nending d"
+
+
 def test_line_dedup_odd(odd, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "lines_total", "lines_deleted", "blocks_deleted"]

@@ -421,6 +421,16 @@ def test_license_suppression():
     assert [h[3] for h in hits] == ["gpl-3-or-later"]
 
 
+def test_license_gates_let_their_rules_pass():
+    scan = license_scan.Scanner((("a phrase of the caller", "own"),))
+    samples = {
+        "do what the fuck you want to public license": "wtfpl", "do whatever you want to public licence": "wtfpl", "OpenRAIL-M": "openrail", "open rail": "openrail", "responsible AI license": "openrail",
+        "library general public license": "lgpl", "open database commons open database license": "odbl", "Open Data Commons Open Database License": "odbl", "Mulan PSL": "mulan-psl", "a phrase of the caller": "own",
+    }
+    for text, label in samples.items():
+        assert label in scan(text.encode())[5].split(","), text
+
+
 # 10 ------------------------------------------------------------------------------
 
 

@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local runs) a temporary folder of this
-    machine is set; on a cluster the setting has to exist.
+    Where the session names none and its executors are threads of this process
+    (tests, local runs) a temporary folder of this machine is set; on a cluster
+    the setting has to exist.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,6 +44,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        # tables that a result reads have to last as long as the session may read them
         atexit.register(self.close)
 
     def path(self, table: str) -> str:
@@ -75,6 +80,30 @@ class Scratch:
             pass
 
 
+# --------------------------------------------------------------------------
+# What a Python worker keeps between tasks
+# --------------------------------------------------------------------------
+
+_MEMORY: dict = {}
+
+
+def worker_memory(key: tuple, make):
+    """The object that ``make`` gives, kept for later tasks of this worker.
+
+    A worker outlives its stage; it keeps one object, and asking for another one
+    frees the first.
+    """
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[key] = make()
+    return _MEMORY[key]
+
+
+def forget() -> None:
+    """Frees what earlier stages left in this worker."""
+    _MEMORY.clear()
+
+
 # --------------------------------------------------------------------------
 # Text kernels: whole Arrow columns as byte arrays
 # --------------------------------------------------------------------------
@@ -181,6 +210,24 @@ def window_hashes(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.nda
 # --------------------------------------------------------------------------
 
 
+def star_edges(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, centres): a star for each component of the pairs (i, j) of ``n`` rows."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        down = label.copy()
+        np.minimum.at(down, i, low)
+        np.minimum.at(down, j, low)
+        np.minimum.at(down, label[i], low)
+        np.minimum.at(down, label[j], low)
+        down = down[down]
+        if (down == label).all():
+            break
+        label = down
+    member = np.flatnonzero(label != np.arange(n))
+    return member, label[member]
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b); component is the smallest id.
 

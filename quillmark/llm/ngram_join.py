@@ -12,7 +12,11 @@ set alone needs no index entry, and most documents drop out at once.
   hash, so two shared ones have one colour, and only pairs of one colour are
   indexed.  With ``c = e`` their number stays in proportion to the prefix.
 
-Candidates are verified against the whole sets.
+Candidates of one index entry are first verified against its head, the set with
+the fewest tokens of its own.  Where an entry then still spans several
+components, its sets are compared with each other by what sets them apart from
+the head: the symmetric difference of two sets is that of their differences
+from any third one, and among near copies these are short.
 """
 
 from __future__ import annotations
@@ -25,16 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import LOWER_VALUE, U64, Scratch, connected_components, doc_slices, mix, span_hashes, text_bytes, window_hashes, word_spans
+from quillmark.llm.common import LOWER_VALUE, U64, Scratch, connected_components, doc_slices, forget, mix, span_hashes, star_edges, text_bytes, window_hashes, word_spans
 
-_MASK = U64((1 << 48) - 1)
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct 48-bit shingle values of each text, how many each text
+    has, and how many distinct shingles (told apart by 64 bits).
 
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 48-bit shingle values of each text, and their counts.
-
-    Fewer than ``size`` words are one shingle; no words, none.  Counts and
-    equality within a text are by 48 bits.
+    Fewer than ``size`` words are one shingle; no words, none.
     """
     n = len(offsets) - 1
     starts, ends, doc = word_spans(data, offsets)
@@ -52,13 +53,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
                 h = mix(h * U64(0x9FB21C651E98DF25) + w)
             own.append(h[0])
         value, owner = np.concatenate([value, np.array(own, np.uint64)]), np.concatenate([owner, short])
-    value = value & _MASK
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
-    keep = np.ones(len(value), bool)
-    keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    value, owner = value[keep], owner[keep]
-    return value, np.bincount(owner, minlength=n)
+    other = np.ones(len(value), bool)
+    other[1:] = owner[1:] != owner[:-1]
+    keep = other.copy()
+    keep[1:] |= value[1:] != value[:-1]
+    shingles = np.bincount(owner[keep], minlength=n)
+    value = value >> U64(16)
+    keep = other
+    keep[1:] |= value[1:] != value[:-1]
+    return value[keep], np.bincount(owner[keep], minlength=n), shingles
 
 
 def _pack(value: np.ndarray) -> bytes:
@@ -112,31 +117,46 @@ def index_keys(value: np.ndarray, df: np.ndarray, threshold: int, rare: int) ->
     return keys
 
 
-def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare: int = 16, rounds: int = 4, block_bytes: int = 1 << 24, bucket_tokens: int = 1 << 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare: int = 16, block_bytes: int = 1 << 24, bucket_tokens: int = 1 << 20, chunk_rows: int = 1024, chunk_tokens: int = 1 << 19, id_column: str = "doc_id", text_column: str = "text", row_column: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     Links: 100 * shared >= ``threshold`` * united tokens.  Texts with equal
     sets are one class from the start.  A text without words, or a null, has
     no tokens and is its own component.  Rows with repeated ids are documents
     of their own; a component's id is the smallest id in it that is not null.
+    Columns besides the id and the text are not read; an empty table gives no
+    rows.  With ``row_column`` (a binary key of the row) that column comes too,
+    and ``component``: equal for the rows of one component and for no others,
+    null for rows without tokens.
 
     Sets are hashed into a bucketed table of blocks (some megabytes of text
     each).  A block sends each token once, however many of its documents hold
     it, so no token meets one task more often than there are blocks; the counts
     come back by block and join its bucket without moving the sets again.
-    The sets of an index entry are compared with a representative: the one with
-    the fewest tokens of its own, then, in up to ``rounds`` - 2 more rounds, one of
-    a component that has given none, while the entry still spans several.  What
-    is left then meets the rest of its entry unless the triangle inequality of
-    the Jaccard distance or an equal component settles the pair, so no link
-    between components is lost.
+    The sets of an index entry are verified against the entry's head.  Sets of
+    entries that still span several components are dealt, head by head, to
+    chunks of about ``chunk_rows`` sets or ``chunk_tokens`` tokens of
+    difference; each task counts the overlaps between two chunks exactly and
+    returns a star for each component that it finds, so no link between
+    components is lost and no pair without a link leaves a task.  Two chunks of
+    sets that all link with the head do not meet.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
+    table = "quillmark_sets_" + scratch.root.rsplit("-", 1)[1]
+    try:
+        return _components(docs, scratch, table, size, threshold, rare, block_bytes, bucket_tokens, chunk_rows, chunk_tokens, id_column, text_column, row_column)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _components(docs, scratch, table, size, threshold, rare, block_bytes, bucket_tokens, chunk_rows, chunk_tokens, id_column, text_column, row_column) -> DataFrame:
+    spark = docs.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     # 1. sets by block -----------------------------------------------------
     def blocks(batches):
+        forget()
         part, number = TaskContext.get().partitionId(), 0
         held: dict[bytes, list] = {}
         used = 0
@@ -146,19 +166,19 @@ def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare:
             rows = sorted(held.items())
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(part << 20) + number] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.binary()), pa.array([len(v[0]) // 6 for _, v in rows], pa.int64()),
-                    pa.array([v[1] for _, v in rows], pa.list_(pa.int64())), pa.array([v[0] for _, v in rows], pa.binary()),
+                    pa.array([(part << 20) + number] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.binary()), pa.array([v[3] for _, v in rows], pa.int64()),
+                    pa.array([v[1] for _, v in rows], pa.list_(pa.int64())), pa.array([v[2] for _, v in rows], pa.list_(pa.binary())), pa.array([v[0] for _, v in rows], pa.binary()),
                 ],
-                names=["block", "set_key", "n", "ids", "tokens"],
+                names=["block", "set_key", "n", "ids", "keys", "tokens"],
             )
             number, held, used = number + 1, {}, 0
             return out
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            ids = batch.column(0).to_pylist()
+            ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in doc_slices(offsets):
-                value, count = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
+                value, count, shingles = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 first = np.cumsum(count) - count
                 finger = mix(value + U64(0x5851F42D4C957F2D))
                 for d in range(b - a):
@@ -166,17 +186,18 @@ def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare:
                     key = b"" if not count[d] else b"%d:%d:%d" % (count[d], finger[own].sum(), np.bitwise_xor.reduce(mix(value[own])))
                     if key in held:
                         held[key][1].append(ids[a + d])
+                        held[key][2].append(keys[a + d])
                     else:
-                        held[key] = [_pack(value[own]), [ids[a + d]]]
+                        held[key] = [_pack(value[own]), [ids[a + d]], [keys[a + d]], int(shingles[d])]
                 used += int(offsets[b] - offsets[a])
                 if used >= block_bytes:
                     yield close()
         if held:
             yield close()
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    table = "quillmark_sets_" + scratch.root.rsplit("-", 1)[1]
-    made = rows.mapInArrow(blocks, "block long, set_key binary, n long, ids array<long>, tokens binary")
+    own_key = F.col(row_column).cast("binary") if row_column else F.lit(None).cast("binary")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), own_key.alias("row_key"))
+    made = rows.mapInArrow(blocks, "block long, set_key binary, n long, ids array<long>, keys array<binary>, tokens binary")
     made.write.bucketBy(max(8, shuffle), "block").sortBy("block").option("path", scratch.path("sets")).option("compression", "zstd").format("parquet").saveAsTable(table)
     sets = spark.table(table)
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -241,7 +262,7 @@ def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare:
         order = np.argsort(token)
         token, df = token[order], df[order]
         out = {"set_key": [], "n": [], "alone": [], "rep": [], "tokens": [], "keys": []}
-        for set_key, n, ids, blob in zip(*(left[c].to_pylist() for c in ("set_key", "n", "ids", "tokens"))):
+        for set_key, ids, blob in zip(*(left[c].to_pylist() for c in ("set_key", "ids", "tokens"))):
             value = _unpack(blob)
             own = np.ones(len(value), np.int64)
             if len(token):
@@ -251,18 +272,19 @@ def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare:
             if found:
                 known = [i for i in ids if i is not None]
                 out["set_key"].append(set_key)
-                out["n"].append(n)
+                out["n"].append(len(value))
                 out["alone"].append(int((own <= 1).sum()))
                 out["rep"].append(min(known) if known else None)
-                out["tokens"].append(blob)
+                out["tokens"].append(_pack(value[own > 1]))  # the others are in no other set
                 out["keys"].append(found)
         kinds = {"set_key": pa.binary(), "n": pa.int64(), "alone": pa.int64(), "rep": pa.int64(), "tokens": pa.binary(), "keys": pa.list_(pa.int64())}
         return pa.table({k: pa.array(out[k], t) for k, t in kinds.items()})
 
-    chosen = sets.where("n > 0").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(choose, "set_key binary, n long, alone long, rep long, tokens binary, keys array<long>")
+    choices = sets.where("n > 0").select("block", "set_key", "ids", "tokens").groupBy("block").cogroup(answers.groupBy("block"))
+    chosen = choices.applyInArrow(choose, "set_key binary, n long, alone long, rep long, tokens binary, keys array<long>")
     chosen = scratch.write(chosen, "chosen")
     # the same set from several blocks is one candidate; its number stands for the class
-    members = sets.select("set_key", "n", F.explode("ids").alias("doc_id"))
+    members = sets.select("set_key", "n", F.explode(F.arrays_zip("ids", "keys")).alias("row")).select("set_key", "n", F.col("row.ids").alias("doc_id"), F.col("row.keys").alias("row_key"))
     members = scratch.write(members, "members")
     one = Window.partitionBy("set_key").orderBy("rep")
     grouped = chosen.withColumn("one", F.row_number().over(one)).where("one = 1")
@@ -270,82 +292,142 @@ def ngram_components(docs: DataFrame, size: int = 4, threshold: int = 85, rare:
     entries = cands.select("cid", "n", "alone", F.explode(F.array_distinct("keys")).alias("key"))
     entries = scratch.write(entries, "entries")
 
-    # 4. stars around representatives, then whatever they leave open ------------
-    near, fits = f"100 * shared >= {threshold} * united", f"100 * least(n, head.n) >= {threshold} * greatest(n, head.n)"
-    limit = 1 - threshold / 100
+    # 4. stars around the entries' heads, then whatever they leave open ---------
     # the fewer tokens of its own a set has, the nearer it is to the middle of its copies
-    keyed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("alone", "cid", "n")).alias("head")).where("m > 1").drop("m")
-    stars = entries.join(keyed, "key").where("cid <> head.cid").where(fits)
-    first = scratch.write(_verify(stars.select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct(), cands), "first")
-    links = scratch.write(first.where(near).select("a", "b"), "links_0")
-    known = first.select(F.col("a").alias("h"), F.col("b").alias("cid"), (1 - F.col("shared") / F.col("united")).alias("d"))
-    # d, the distance to the first representative; none where sizes alone keep a set from it
-    tagged = entries.join(keyed.select("key", F.col("head.cid").alias("h")), "key").join(known, ["h", "cid"], "left")
-    tagged = tagged.select("key", "cid", "n", "alone", F.when(F.col("cid") == F.col("h"), F.lit(0.0)).otherwise(F.col("d")).alias("d"), (F.col("cid") == F.col("h")).alias("led"))
-    tagged = scratch.write(tagged, "tagged_0")
-    close = F.coalesce(F.abs(F.col("d") - F.col("head.d")) <= limit + 1e-9, F.lit(True))
-    for number in range(1, rounds + 1):
-        labels = scratch.write(connected_components(spark, links, scratch, f"cc_{number}"), f"labels_{number}")
-        open_ = _with_components(tagged, labels)
-        several = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        tagged = scratch.write(open_.join(several, "key", "left_semi"), f"tagged_{number}")
-        scratch.drop(f"tagged_{number - 1}", f"labels_{number}")
-        if number == rounds or tagged.isEmpty():
-            break
-        # the next representative comes from a component that has given none
-        parts = tagged.groupBy("key", "component").agg(F.max("led").alias("led"), F.min(F.struct("alone", "cid", "n", "d")).alias("own")).where("NOT led")
-        heads = parts.groupBy("key").agg(F.min(F.struct("own", "component")).alias("best")).select("key", F.col("best.own").alias("head"), F.col("best.component").alias("hc"))
-        heads = scratch.write(heads, f"heads_{number}")
-        pairs = tagged.join(heads, "key").where(F.col("component") != F.col("hc")).where(fits).where(close)
-        found = _verify(pairs.select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct(), cands).where(near).select("a", "b")
-        links = scratch.write(links.unionByName(found), f"links_{number}")
-        led = heads.select("key", F.col("head.cid").alias("cid"), F.lit(True).alias("now"))
-        tagged = tagged.drop("component").join(led, ["key", "cid"], "left").withColumn("led", F.col("led") | F.coalesce("now", F.lit(False))).drop("now")
-    far = tagged.where(f"d IS NULL OR d > {limit}")
-    l, r = far.alias("l"), tagged.alias("r")
-    pair = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component"))
-    pair &= F.coalesce(F.abs(F.col("l.d") - F.col("r.d")) <= limit + 1e-9, F.lit(True))
-    pair &= 100 * F.least("l.n", "r.n") >= threshold * F.greatest("l.n", "r.n")
-    rest = l.join(r, pair).select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
-    second = scratch.write(_verify(rest, cands).where(near).select("a", "b"), "second")
+    keyed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("alone", "cid", "n")).alias("head")).where("m > 1")
+    keyed = scratch.write(keyed, "heads")
+    # tokens of one's own cannot be shared
+    most = F.least(F.col("n") - F.col("alone"), F.col("head.n") - F.col("head.alone"))
+    stars = entries.join(keyed, "key").where("cid <> head.cid").where(100 * most >= threshold * (F.col("n") + F.col("head.n") - most))
+    stars = stars.select(F.col("head.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    links = scratch.write(_verify(stars, cands, threshold), "stars")
+    labels = scratch.write(connected_components(spark, links, scratch, "cc_stars"), "labels")
+    # an entry of two sets is settled; so is one of a single component
+    named = entries.join(keyed.where("m > 2").select("key", F.col("head.cid").alias("h")), "key")
+    named = named.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left").select("key", "h", "cid", F.coalesce("component", "cid").alias("component"))
+    named = scratch.write(named, "named")
+    several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    opened = named.join(several, "key", "left_semi").select("h", "cid", "component").distinct()
+    opened = scratch.write(_differences(opened, cands), "opened")
+    # sets of the head's own component need only meet the others
+    mine = opened.where("cid = h").select("h", F.col("component").alias("hc"))
+    opened = opened.join(mine, "h").select("h", "cid", "n", "alone", "component", "apart", (F.col("component") == F.col("hc")).alias("near"))
+    weight = F.greatest(F.count(F.lit(1)) / chunk_rows, F.sum(F.octet_length("apart")) / (6 * chunk_tokens))
+    counts = opened.groupBy("h", "near").agg(F.ceil(weight).cast("int").alias("chunks"))
+    counts = counts.groupBy("h").agg(F.coalesce(F.max(F.when(F.col("near"), F.col("chunks"))), F.lit(0)).alias("inner"), F.coalesce(F.max(F.when(~F.col("near"), F.col("chunks"))), F.lit(0)).alias("outer"))
+    dealt = opened.join(counts.where("outer > 0"), "h")
+    chunk = F.when(F.col("near"), F.pmod(F.xxhash64("cid"), "inner")).otherwise(F.col("inner") + F.pmod(F.xxhash64("cid"), "outer")).cast("int")
+    dealt = dealt.select("h", "cid", "n", "alone", "component", "apart", chunk.alias("chunk"), F.explode(F.sequence(F.when(F.col("near"), F.col("inner")).otherwise(F.lit(0)), F.col("inner") + F.col("outer") - 1)).alias("other"))
+    dealt = dealt.select("h", "cid", "n", "alone", "component", "apart", "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
+    second = scratch.write(dealt.groupBy("h", "x", "y").applyInArrow(_compare(threshold), "a long, b long"), "second")
 
     # 5. components of classes, then of rows -----------------------------------
     done = connected_components(spark, links.unionByName(second), scratch)
     done = scratch.write(done.join(cands.select(F.col("cid").alias("id"), "set_key"), "id").select("set_key", "component"), "done")
     classes = members.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("low")).join(done, "set_key", "left")
     lowest = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("low").alias("root"))
-    classes = classes.join(lowest, "component", "left").select("set_key", F.coalesce("root", "low").alias("root"))
+    label = F.coalesce(F.col("component").cast("string").cast("binary"), "set_key").alias("label")  # a set's key holds colons, a number does not
+    classes = classes.join(lowest, "component", "left").select("set_key", F.coalesce("root", "low").alias("root"), label)
     classes = scratch.write(classes, "classes")
-    out = members.where("n > 0").join(classes, "set_key").select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
-    out = out.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    out = scratch.write(out, "result")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    scratch.drop("sets", "chosen", "members", "cands", "entries", "first", "second", *(f"{t}_{k}" for t in ("links", "tagged", "heads") for k in range(rounds + 1)), "done", "classes")
+    out = members.where("n > 0").join(classes, "set_key").select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), "row_key", "label")
+    out = out.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row_key", F.lit(None).cast("binary").alias("label")))
+    extra = [F.col("row_key").alias(row_column), F.col("label").alias("component")] if row_column else []
+    out = scratch.write(out.select("doc_id", "n_shingles", "component_id", *extra), "result")
+    scratch.drop("sets", "chosen", "members", "cands", "entries", "heads", "stars", "labels", "named", "opened", "second", "done", "classes")
     return out
 
 
-def _with_components(tagged: DataFrame, labels: DataFrame) -> DataFrame:
-    out = tagged.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left")
-    return out.withColumn("component", F.coalesce("component", "cid"))
+def _with_tokens(pairs: DataFrame, cands: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b, ...) with both sets: sizes, own tokens' numbers and shared tokens."""
+    left = cands.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("alone").alias("aa"), F.col("tokens").alias("x"))
+    right = cands.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("alone").alias("ba"), F.col("tokens").alias("y"))
+    return pairs.join(right, "b").join(left, "a")
 
 
-def _verify(pairs: DataFrame, cands: DataFrame) -> DataFrame:
-    """(a, b, shared, united) of candidate pairs, from their whole sets."""
+def _verify(pairs: DataFrame, cands: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of the candidate pairs that link, by their whole sets."""
 
-    def count(batches):
+    def keep(batches):
         for batch in batches:
-            shared, united = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = _unpack(x), _unpack(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                shared.append(both)
-                united.append(len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(united, pa.int64())], names=["a", "b", "shared", "united"])
-
-    left = cands.select(F.col("cid").alias("a"), F.col("tokens").alias("x"))
-    right = cands.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return both.mapInArrow(count, "a long, b long, shared long, united long")
+            an, bn = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            shared = [len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            shared = np.array(shared, np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(100 * shared >= threshold * (an + bn - shared)))
+
+    return _with_tokens(pairs, cands).select("a", "b", "an", "bn", "x", "y").mapInArrow(keep, "a long, b long")
+
+
+def _differences(opened: DataFrame, cands: DataFrame) -> DataFrame:
+    """(h, cid, component) with the set's size, its own tokens' number and, of
+    the tokens that several sets hold, those in one of both sets only."""
+
+    def apart(batches):
+        for batch in batches:
+            out = [_pack(np.setxor1d(_unpack(x), _unpack(y), assume_unique=True)) for x, y in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], names=["h", "cid", "component", "n", "alone", "apart"])
+
+    both = _with_tokens(opened.select(F.col("h").alias("a"), F.col("cid").alias("b"), "component"), cands)
+    return both.select("a", "b", "component", "bn", "ba", "x", "y").mapInArrow(apart, "h long, cid long, component long, n long, alone long, apart binary")
+
+
+def overlaps(row: np.ndarray, token: np.ndarray, left: np.ndarray, right: np.ndarray, rows: int, heavy: int = 32, width: int = 1024) -> np.ndarray:
+    """How many tokens each of the rows ``left`` shares with each of ``right``.
+
+    (row, token) are the sets' members.  Tokens of ``heavy`` rows or more are
+    counted by products of incidence matrices, ``width`` tokens at a time, the
+    others pair by pair; each member takes part in fewer than ``heavy`` of those.
+    """
+    out = np.zeros((len(left), len(right)), np.float32)
+    at_left, at_right = np.full(rows, -1), np.full(rows, -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    _, column, count = np.unique(token, return_inverse=True, return_counts=True)
+    many = count >= heavy
+    number = np.cumsum(many) - 1
+    own = many[column]
+    r, c = row[own], number[column[own]]
+    order = np.argsort(c, kind="stable")
+    r, c = r[order], c[order]
+    for first in range(0, int(many.sum()), width):
+        a, b = np.searchsorted(c, (first, first + width))
+        marks = np.zeros((rows, width), np.float32)
+        marks[r[a:b], c[a:b] - first] = 1
+        out += marks[left] @ marks[right].T
+    own = ~own & (count[column] > 1)
+    r, c = row[own], column[own]
+    order = np.argsort(c, kind="stable")
+    r, c = r[order], c[order]
+    for step in range(1, heavy):
+        same = np.flatnonzero(c[:-step] == c[step:]) if step < len(c) else ()
+        if not len(same):
+            break
+        for i, j in ((r[same], r[same + step]), (r[same + step], r[same])):
+            i, j = at_left[i], at_right[j]
+            both = (i >= 0) & (j >= 0)
+            np.add.at(out, (i[both], j[both]), 1)
+    return out.astype(np.int64)
+
+
+def _compare(threshold: int):
+    """Links between two chunks of one head's sets, or within one: for each
+    component that they make, its members with one of them."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        cid, n, alone, component, chunk, x, y = (table[c].to_numpy() for c in ("cid", "n", "alone", "component", "chunk", "x", "y"))
+        sets = [_unpack(b) for b in table["apart"].to_pylist()]
+        length = np.array([len(s) for s in sets], np.int64)
+        left = np.flatnonzero(chunk == x[0])
+        right = left if x[0] == y[0] else np.flatnonzero(chunk == y[0])
+        shared = overlaps(np.repeat(np.arange(len(sets)), length), np.concatenate(sets), left, right, len(sets))
+        weight = length + alone
+        apart = weight[left][:, None] + weight[right][None, :] - 2 * shared
+        total = n[left][:, None] + n[right][None, :]
+        linked = 100 * (total - apart) >= threshold * (total + apart)
+        linked &= component[left][:, None] != component[right][None, :]
+        i, j = np.nonzero(linked)
+        member, centre = star_edges(left[i], right[j], len(sets))
+        return pa.table({"a": pa.array(cid[member]), "b": pa.array(cid[centre])})
+
+    return compare
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

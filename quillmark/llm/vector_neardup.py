@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import Scratch, connected_components
+from quillmark.llm.common import Scratch, connected_components, star_edges
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -34,22 +34,6 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _stars(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(members, centres): a star for each component of the pairs (i, j) of ``n`` rows."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        down = label.copy()
-        np.minimum.at(down, i, low)
-        np.minimum.at(down, j, low)
-        down = down[down]
-        if (down == label).all():
-            break
-        label = down
-    member = np.flatnonzero(label != np.arange(n))
-    return member, label[member]
-
-
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 512, recall: float = 0.995, hash_bits: int = 48, seed: int = 11, id_column: str = "vec_id", vector_column: str = "embedding", block: int = 1024, chunk: int = 8192) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
@@ -123,7 +107,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, window: int = 512, rec
                 i, j = np.nonzero(close)
                 if len(i):
                     # a star from each of the block's components says the same
-                    member, centre = _stars(at[i], j, len(every))
+                    member, centre = star_edges(at[i], j, len(every))
                     n = len(member)
                     yield pa.RecordBatch.from_arrays([pa.array(every_ids[member]), pa.array(every_ids[centre]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names=found_names)
                 every_codes = np.concatenate([codes, new_codes[a : a + window]])
@@ -218,7 +202,7 @@ def _all_pairs(cosine: float, block: int):
             for b in range(a if one else 0, len(right), block):
                 own, their = left[a : a + block], right[b : b + block]
                 i, j = np.nonzero(m[own] @ m[their].T >= cosine)
-                member, centre = _stars(i, j + len(own), len(own) + len(their))
+                member, centre = star_edges(i, j + len(own), len(own) + len(their))
                 both = np.concatenate([cid[own], cid[their]])
                 ends.append(both[member])
                 centres.append(both[centre])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -94,7 +95,7 @@ def worker_memory(key: tuple, make):
     frees the first.
     """
     if key not in _MEMORY:
-        _MEMORY.clear()
+        forget()
         _MEMORY[key] = make()
     return _MEMORY[key]
 
@@ -102,6 +103,16 @@ def worker_memory(key: tuple, make):
 def forget() -> None:
     """Frees what earlier stages left in this worker."""
     _MEMORY.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives the system back what is free, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 # --------------------------------------------------------------------------

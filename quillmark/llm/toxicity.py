@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import LOWER, LOWER_VALUE, doc_slices, span_hashes, text_bytes, word_spans
+from quillmark.llm.common import LOWER, LOWER_VALUE, Scratch, doc_slices, span_hashes, text_bytes, word_spans, worker_memory
 
 #: Stands before every window and ends both dictionaries: a window of a few
 #: bytes is then always stored compressed, and its length tells its cost.
@@ -101,14 +101,8 @@ class WindowMeter:
         return value[back], doc
 
 
-_METERS: dict[str, WindowMeter] = {}
-
-
 def _meter(model: ToxicModel) -> WindowMeter:
-    if model.key not in _METERS:
-        _METERS.clear()
-        _METERS[model.key] = WindowMeter(model)
-    return _METERS[model.key]
+    return worker_memory(("meter", model.key), lambda: WindowMeter(model))
 
 
 N_FEATURES = 6
@@ -276,28 +270,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, clas
 
     Held out: crc32(doc_id as text) mod 3 = 1.  Of each class the first
     ``per_class`` ids in order of their hash serve (a bound for the broadcast),
-    and of their texts as many in that order as ``class_bytes`` hold.  An id
+    and of their texts as many in that order as ``class_bytes`` hold; an id's
+    shortest text stands for it, and one beyond ``class_bytes`` for none.  An id
     with several labels is toxic if one says so; null labels and ids are left
-    out, null texts are empty.
+    out, null texts are empty.  One scan of the texts, whose sample is written;
+    without labels of both classes every score is the prior.
     """
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic_label"))
     own = own.where("crc32(cast(label_id as string)) % 3 <> 1").withColumn("place", F.xxhash64("label_id"))
     sample = own.where("toxic_label = 1").orderBy("place").limit(per_class).unionByName(own.where("toxic_label = 0").orderBy("place").limit(per_class))
-    texts = docs.select(F.col(id_column).cast("long").alias("label_id"), F.coalesce(F.col(text_column), F.lit("")).alias("label_text")).join(F.broadcast(sample), "label_id")
-    sides: dict[int, list[bytes]] = {0: [], 1: []}
-    used = {0: 0, 1: 0}
-    sizes = texts.select("label_id", "toxic_label", "place", F.octet_length("label_text").alias("n")).collect()
-    chosen = []
-    for r in sorted(sizes, key=lambda r: (r["place"], r["label_id"], r["n"])):
+    texts = docs.select(F.col(id_column).cast("long").alias("label_id"), F.coalesce(F.col(text_column), F.lit("")).alias("label_text")).withColumn("n", F.octet_length("label_text")).where(F.col("n") <= class_bytes)
+    texts = texts.join(F.broadcast(sample), "label_id").groupBy("label_id", "toxic_label", "place").agg(F.min(F.struct("n", "label_text")).alias("text"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    texts = scratch.write(texts.select("label_id", "toxic_label", "place", "text.*"), "sample")
+    used, chosen = {0: 0, 1: 0}, []
+    for r in sorted(texts.select("label_id", "toxic_label", "place", "n").collect(), key=lambda r: (r["place"], r["label_id"])):
         if used[r["toxic_label"]] + r["n"] <= class_bytes:
             used[r["toxic_label"]] += r["n"]
             chosen.append(r["label_id"])
-    if chosen:
-        spark = docs.sparkSession
-        taken = spark.createDataFrame([(int(c),) for c in sorted(set(chosen))], "label_id long")
-        rows = texts.join(F.broadcast(taken), "label_id").where(F.octet_length("label_text") <= class_bytes)
-        for r in sorted(rows.select("place", "label_id", "toxic_label", "label_text").collect(), key=lambda r: (r["place"], r["label_id"], r["label_text"])):
-            sides[r["toxic_label"]].append(r["label_text"].encode())
+    sides: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sorted(texts.where(F.col("label_id").isin(chosen)).collect(), key=lambda r: (r["place"], r["label_id"])) if chosen else []:
+        sides[r["toxic_label"]].append(r["label_text"].encode())
+    scratch.close()
     return fit_texts(sides[1], sides[0])
 
 
@@ -305,7 +299,9 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, i
     """(doc_id, score, predicted) of every row.
 
     A null text is an empty one; without windows a score is what the
-    calibration gives to no distance at all.  One pass; rows keep their ids.
+    calibration gives to no distance at all.  One pass; rows keep their ids,
+    null or repeated, equal texts have equal scores, long texts are measured
+    whole, a few megabytes at a time, and an empty table gives no rows.
     """
 
     def run(batches):
@@ -332,5 +328,5 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from the labels that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    held_out = F.expr("crc32(cast(doc_id as string)) % 3 = 1").alias("held_out")
+    held_out = F.expr("coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)").alias("held_out")
     return score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillmark.llm.common import BYTE_VALUE, Scratch, doc_slices, span_hashes, text_bytes, word_spans
+from quillmark.llm.common import BYTE_VALUE, Scratch, doc_slices, forget, span_hashes, text_bytes, word_spans
 
 
 def line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,12 +157,16 @@ def dedup_lines(docs: DataFrame, least_words: int = 20, id_column: str = "doc_id
     holders are; each later holder makes one pair for a line and one for a run
     at most, however frequent they are.  Each pair is aligned on its
     own; blocks with fewer than ``least_words`` words stay, and so do a line's
-    occurrences in its earliest holder.  A null text has no lines.
+    occurrences in its earliest holder.  A null text has no lines.  Columns of
+    ``docs`` that have a name of the added ones give way to them; all others
+    stay as they are.  An empty table gives no rows.
     """
     spark = docs.sparkSession
+    docs = docs.drop("lines_total", "lines_deleted", "blocks_deleted")
     scratch = Scratch(spark, "line-dedup")
 
     def split(batches):
+        forget()
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             for x, y in doc_slices(offsets):

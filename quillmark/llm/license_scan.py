@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -102,33 +103,62 @@ _SINGLE = (  # keyword, label, priority, pattern
     ("rail", "openrail", 50, r"open ?rail(?: m)?"),
 )
 _UNDER = r"(?:under (?:the )?(?:terms of (?:the )?)?)?"
+#: Identifiers of licences without versions, as words, and their labels.
+_IDENTIFIERS = (
+    ("mit", "mit"), ("isc", "isc"), ("0bsd", "0bsd"), ("bsd 2 clause", "bsd-2-clause"), ("bsd 3 clause", "bsd-3-clause"), ("bsd 4 clause", "bsd-4-clause"), ("unlicense", "unlicense"), ("zlib", "zlib"), ("x11", "x11"),
+    ("wtfpl", "wtfpl"), ("cc0 1 0", "cc0-1.0"), ("ncsa", "ncsa"), ("openssl", "openssl"), ("curl", "curl"), ("ruby", "ruby"), ("vim", "vim"), ("json", "json"), ("icu", "icu"), ("postgresql", "postgresql"), ("beerware", "beerware"), ("w3c", "w3c"),
+)
+_SPDX = "spdx licen[sc]e identifier"
 
 
 def signature_rules() -> list[tuple[str, str, int, re.Pattern]]:
     """(keyword, label, priority, pattern) in order; several hundred.
 
     A versioned licence has one rule for its bare name, and for each version one
-    for the name before it, one for "or later" and one for the short form;
-    Creative Commons has them by part, version and spelling.
+    for the name before it, one for "or later", one for the short form with its
+    number joined or apart and one for its identifier; Creative Commons has them
+    by part, version and spelling.
     """
     out = []
     add = lambda keyword, label, priority, pattern: out.append((keyword, label, priority, re.compile(rf"(?<= ){pattern}(?= )")))
+    later = "(?:or (?:at your option )?(?:any )?later(?: version)?|or newer)"
+    short: dict[str, tuple] = {}
     for keyword, stem, name, versions in _VERSIONED:
         add(keyword, stem, 40, f"{_UNDER}(?:the )?(?:{name})")
         for version in versions:
             number = version if " " in version else f"{version}(?: 0)?"
             label = f"{stem}-{version.replace(' ', '.')}"
             add(keyword, label, 60, f"{_UNDER}(?:the )?(?:{name}) (?:version |v ?)?{number}(?! [0-9] )")
-            add(keyword, f"{label}-or-later", 70, rf"{_UNDER}(?:the )?(?:{name}) (?:version |v ?)?{number} (?:or (?:at your option )?(?:any )?later(?: version)?|or newer)")
+            add(keyword, f"{label}-or-later", 70, rf"{_UNDER}(?:the )?(?:{name}) (?:version |v ?)?{number} {later}")
+        short[stem] = versions
+    for stem, versions in short.items():
+        word = stem.replace("-", " ")
+        for version in versions:
+            label, full = f"{stem}-{version.replace(' ', '.')}", version if " " in version else f"{version} 0"
+            number = version if " " in version else f"{version}(?: 0)?"
+            add(word, label, 62, rf"(?:{word} v|{word}v ?){number}(?! [0-9] )")
+            add(word, f"{label}-or-later", 72, rf"(?:{word} v|{word}v ?){number} (?:{later}|plus)")
+            add(word, label, 62, rf"{word} {full}(?: only)?")
+            add(word, f"{label}-or-later", 72, rf"{word} {full} or later")
+            add(word, label, 64, rf"{_SPDX} {word} {full}(?: only)?")
+            add(word, f"{label}-or-later", 74, rf"{_SPDX} {word} {full} or later")
+    for words, label in _IDENTIFIERS:
+        add("spdx", label, 64, f"{_SPDX} {words}")
     for parts in _CC_PARTS:
-        label = "cc-" + parts.replace(" ", "-")
-        for name in (f"(?:creative commons|cc) {parts}", f"(?:creative commons )?{_CC_NAMES[parts]}"):
-            keyword = "cc " + parts if name.startswith("(?:creative commons|") else "attribution"
-            keyword = "" if keyword.startswith("cc") else keyword
-            tail = "(?! (?:nc|sa|nd) )" if keyword == "" else "(?! (?:non|no|share))"
-            add(keyword or parts, label, 45, f"{name}{tail}(?: licen[sc]e)?")
-            for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
-                add(keyword or parts, f"{label}-{version.replace(' ', '.')}", 65, f"{name} (?:licen[sc]e )?(?:version )?{version}(?: international| unported)?")
+        label, name = "cc-" + parts.replace(" ", "-"), _CC_NAMES[parts]
+        versions = ("1 0", "2 0", "2 5", "3 0", "4 0")
+        add(f"cc {parts}", label, 45, f"cc {parts}(?! (?:nc|sa|nd) )(?: licen[sc]e)?")
+        add(f"creative commons {parts}", label, 45, f"creative commons {parts}(?! (?:nc|sa|nd) )(?: licen[sc]e)?")
+        # "attribution" is a word of its own: only beside the name, the word licence or a version's scope
+        add("creative commons attribution", label, 45, f"creative commons {name}(?! (?:non|no|share))(?: licen[sc]e)?")
+        add("attribution", label, 45, f"{name} licen[sc]e")
+        for version in versions:
+            full, scope = f"{label}-{version.replace(' ', '.')}", "(?: international| unported| generic)"
+            add(f"cc {parts}", full, 65, f"cc {parts} (?:licen[sc]e )?(?:version |v ?)?{version}{scope}?")
+            add(f"creative commons {parts}", full, 65, f"creative commons {parts} (?:licen[sc]e )?(?:version |v ?)?{version}{scope}?")
+            add("creative commons attribution", full, 65, f"creative commons {name} (?:licen[sc]e )?(?:version |v ?)?{version}{scope}?")
+            add("attribution", full, 65, f"{name} licen[sc]e (?:version |v ?)?{version}{scope}?")
+            add("attribution", full, 65, f"{name} {version}{scope}")
     for keyword, label, priority, pattern in _SINGLE:
         add(keyword, label, priority, pattern)
     return out
@@ -162,41 +192,39 @@ class Scanner:
         """(first word's number, label) of each place; words from 0."""
         found = []
         for phrase, label in self.phrases:
-            at = text.find(phrase)
+            at, before, words = text.find(phrase), 0, 0
             while at >= 0:
-                found.append((text.count(b" ", 0, at), label))
+                words += text.count(b" ", before, at)
+                before = at
+                found.append((words, label))
                 at = text.find(phrase, at + 1)
         return found
 
     def rule_hits(self, text: str) -> list[tuple[int, int, int, str]]:
-        """(start, end, priority, label) that stay after suppression."""
+        """(start, end, priority, label) that stay after suppression.
+
+        Of two detections of which one's interval contains the other's, the one
+        of higher priority stays, of equal ones the container, then the earlier
+        rule.  Detections that overlap only in part both stay.
+        """
         wanted = sorted({i for _, numbers in self.keywords.iter(text) for i in numbers})
         hits = []
         for i in wanted:
             _, label, priority, pattern = self.rules[i]
             hits += [(m.start(), m.end(), priority, label, i) for m in pattern.finditer(text)]
-        hits.sort(key=lambda h: (h[0], -h[2], h[0] - h[1], h[4]))
+        # none of those kept contains another, so their ends are in order as their starts are
+        starts: list[int] = []
         kept: list[tuple[int, int, int, str]] = []
-        group: list = []
-        reach = -1
-
-        def settle():
-            """Of detections that overlap in a chain: by priority, then length."""
-            own: list = []
-            for h in sorted(group, key=lambda h: (-h[2], h[0] - h[1], h[0], h[4])):
-                if all(h[1] <= o[0] or h[0] >= o[1] for o in own):
-                    own.append(h)
-            kept.extend(h[:4] for h in own)
-
-        for h in hits:
-            if h[0] >= reach and group:
-                settle()
-                group = []
-            group.append(h)
-            reach = max(reach, h[1])
-        if group:
-            settle()
-        return sorted(kept)
+        for start, end, priority, label, _ in sorted(hits, key=lambda h: (-h[2], h[0] - h[1], h[0], h[4])):
+            at = bisect_right(starts, start)
+            if at and kept[at - 1][1] >= end:
+                continue
+            inner = bisect_left(starts, start)
+            if inner < len(kept) and kept[inner][1] <= end:
+                continue
+            starts.insert(at, start)
+            kept.insert(at, (start, end, priority, label))
+        return kept
 
     def __call__(self, raw: bytes) -> tuple:
         words = raw.translate(_CLASS).split()
@@ -222,7 +250,8 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, id_column: str = "doc_id", t
     words joined by single spaces.  score is 1 - 0.5 ** evidence, a base place
     counting 1 and a detection its priority / 100.  A null text is empty: no
     words, no labels, score 0.  One pass without shuffle; rows keep their ids
-    as they are.
+    as they are, null or repeated; a long text is read whole, in time that
+    follows its length and its detections; an empty table gives no rows.
     """
 
     def run(batches):

@@ -17,9 +17,15 @@ RULES = (
     ("org", "/es/", "block"),
 )
 #: One of these terms rejects.
-STRICT_TERMS = ("porn", "xxx", "hentai", "escort", "cheap-pills", "spam-farm", "viagra", "warez", "casino", "sportsbet")
-#: Several different ones of these reject.
-SOFT_TERMS = ("adult", "bet", "bonus", "cheap", "click", "crack", "dating", "deal", "download", "farm", "free", "gamble", "loan", "lottery", "nude", "pills", "poker", "promo", "sex", "slots", "spam", "torrent", "win", "xtube")
+STRICT_TERMS = ("porn", "xxx", "hentai", "escort", "viagra", "cialis", "warez", "casino", "sportsbet", "camgirl", "phishing", "keygen")
+#: Different ones of these reject by the sum of their weights: words of other
+#: pages too weigh 2, words that seldom stand in them 3.
+SOFT_TERMS = {
+    **dict.fromkeys(("bet", "bonus", "cheap", "click", "deal", "download", "farm", "free", "loan", "promo", "win"), 2),
+    **dict.fromkeys(("adult", "crack", "dating", "gamble", "lottery", "nude", "payday", "pills", "poker", "replica", "sex", "slots", "spam", "torrent", "xtube"), 3),
+}
+#: Two terms of weight 2 stay below it.
+SOFT_LIMIT = 5
 
 
 class TermCounter:
@@ -32,6 +38,7 @@ class TermCounter:
     def __init__(self, strict=STRICT_TERMS, soft=SOFT_TERMS):
         import ahocorasick
 
+        self.weights = dict(soft)
         self.found = ahocorasick.Automaton()
         for term in soft:
             self.found.add_word(term, (term, False))
@@ -39,8 +46,8 @@ class TermCounter:
             self.found.add_word(term, (term, True))
         self.found.make_automaton()
 
-    def __call__(self, text: str) -> tuple[int, int]:
-        """Occurrences of strict terms, different soft terms."""
+    def __call__(self, text: str) -> tuple[int, int, int]:
+        """Occurrences of strict terms, different soft terms and their weights' sum."""
         strict, soft = 0, set()
         for end, (term, hard) in self.found.iter(text):
             before, after = text[end - len(term) : end - len(term) + 1] if end >= len(term) else "", text[end + 1 : end + 2]
@@ -50,7 +57,7 @@ class TermCounter:
                 strict += 1
             else:
                 soft.add(term)
-        return strict, len(soft)
+        return strict, len(soft), sum(self.weights[t] for t in soft)
 
 
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -88,14 +95,16 @@ class RuleTable:
         return best
 
 
-def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT_TERMS, soft=SOFT_TERMS, soft_limit: int = 2, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, strict_hits, soft_hits of every row.
+def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT_TERMS, soft=SOFT_TERMS, soft_limit: int = SOFT_LIMIT, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+    """page_id, host, path, rule, verdict, strict_hits, soft_hits, soft_weight of every row.
 
-    The longest fitting rule decides; without one a URL is blocked on one
-    strict term or ``soft_limit`` different soft terms in its lowered text.  A
+    The longest fitting rule decides, of equally long ones that of the longer
+    host; without one a URL is blocked on one strict term, or on different soft
+    terms whose weights reach ``soft_limit``, in its lowered text.  A
     null URL, and one without ``://``, has an empty host and path and fits no
     rule; its terms count all the same (a null has none).  Rows stand for
-    themselves, so repeated rows and null ids come out as they went in.
+    themselves, so repeated rows and null ids come out as they went in; columns
+    besides the id and the URL are not read, and an empty table gives no rows.
     """
 
     def run(batches):
@@ -105,14 +114,14 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT_TERMS, soft=SOFT_TER
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 rule, verdict = table(host, path)
-                hard, mild = count((url or "").translate(_AZ))
-                out.append((host, path, rule, verdict or ("block" if hard or mild >= soft_limit else "allow"), hard, mild))
-            columns = list(zip(*out)) or [()] * 6
-            kinds = [pa.string()] * 4 + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits"])
+                hard, mild, weight = count((url or "").translate(_AZ))
+                out.append((host, path, rule, verdict or ("block" if hard or weight >= soft_limit else "allow"), hard, mild, weight))
+            columns = list(zip(*out)) or [()] * 7
+            kinds = [pa.string()] * 4 + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight"])
 
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"))
-    return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, strict_hits long, soft_hits long")
+    return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, strict_hits long, soft_hits long, soft_weight long")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +129,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def oracle_sql(soft_limit: int = 2) -> str:
+def oracle_sql(soft_limit: int = SOFT_LIMIT) -> str:
     """The same in DuckDB's SQL, over ``pages``."""
 
     def hits(term: str) -> str:
@@ -132,6 +141,7 @@ def oracle_sql(soft_limit: int = 2) -> str:
     # a URL has no two overlapping occurrences of one term that both stand free
     strict = " + ".join(hits(t) for t in STRICT_TERMS)
     soft = " + ".join(f"CAST({hits(t)} > 0 AS BIGINT)" for t in SOFT_TERMS)
+    weight = " + ".join(f"{w} * CAST({hits(t)} > 0 AS BIGINT)" for t, w in SOFT_TERMS.items())
     return f"""
 WITH rules AS ({rules}),
 cut AS (
@@ -144,11 +154,11 @@ parts AS (
          regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
   FROM cut),
 best AS (
-  SELECT n, max_by(r, length(r)) AS rule, max_by(rv, length(r)) AS rv
+  SELECT n, max_by(r, 1000 * length(r) + length(rh)) AS rule, max_by(rv, 1000 * length(r) + length(rh)) AS rv
   FROM parts JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
   GROUP BY n),
 counted AS (
-  SELECT n, CAST({strict} AS BIGINT) AS strict_hits, CAST({soft} AS BIGINT) AS soft_hits FROM parts)
+  SELECT n, CAST({strict} AS BIGINT) AS strict_hits, CAST({soft} AS BIGINT) AS soft_hits, CAST({weight} AS BIGINT) AS soft_weight FROM parts)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
-       coalesce(rv, CASE WHEN strict_hits > 0 OR soft_hits >= {soft_limit} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits
+       coalesce(rv, CASE WHEN strict_hits > 0 OR soft_weight >= {soft_limit} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits, soft_weight
 FROM parts JOIN counted USING (n) LEFT JOIN best USING (n)"""

@@ -93,7 +93,7 @@ class Codes:
         return out
 
 
-_SEGMENT = "part long, seq long, n_docs long, n_ids long, doc_ids binary, doc_nulls binary, lengths binary, codes binary"
+_SEGMENT = "part long, seq long, n_docs long, n_ids long, first_id long, last_id long, doc_ids binary, doc_nulls binary, lengths binary, codes binary"
 
 
 def write_token_codes(docs: DataFrame, path: str, tokenizer: str, kind: str = tokenizing.BYTE_LEVEL, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", segment_ids: int = 1 << 20) -> None:
@@ -102,8 +102,11 @@ def write_token_codes(docs: DataFrame, path: str, tokenizer: str, kind: str = to
     Rows are dealt into ranges of the document id and sorted there (repeated
     ids by text; null ids come first), so segments in order of (part, seq) hold
     the documents in ascending order.  Null and empty texts are the end id
-    alone.  A segment closes at ``segment_ids`` ids; a longer document is a
-    segment of its own.
+    alone.  A segment closes at ``segment_ids`` ids; a longer document ends its
+    segment.  The files are not compressed, so that a code's bytes lie in them
+    as they are addressed; ``first_id`` and ``last_id`` (of the ids that are not
+    null) let a reader skip segments.  Columns besides the id and the text are
+    not read; an empty table gives a path without segments.
     """
 
     def encode(batches):
@@ -117,6 +120,7 @@ def write_token_codes(docs: DataFrame, path: str, tokenizer: str, kind: str = to
             lengths = np.array([len(x) // 4 for x in ids], "<u4")
             row = {
                 "part": part, "seq": seq, "n_docs": len(held), "n_ids": int(lengths.sum()),
+                "first_id": min((x for x in held if x is not None), default=None), "last_id": max((x for x in held if x is not None), default=None),
                 "doc_ids": np.array([0 if x is None else x for x in held], "<i8").tobytes(),
                 "doc_nulls": np.packbits([x is None for x in held]).tobytes(),
                 "lengths": lengths.tobytes(), "codes": pack_codes(np.frombuffer(b"".join(ids), "<u4")),
@@ -134,10 +138,26 @@ def write_token_codes(docs: DataFrame, path: str, tokenizer: str, kind: str = to
         if held:
             yield segment()
 
-    schema = pa.schema([(n, pa.int64()) for n in ("part", "seq", "n_docs", "n_ids")] + [(n, pa.binary()) for n in ("doc_ids", "doc_nulls", "lengths", "codes")])
+    schema = pa.schema([(n, pa.int64()) for n in ("part", "seq", "n_docs", "n_ids", "first_id", "last_id")] + [(n, pa.binary()) for n in ("doc_ids", "doc_nulls", "lengths", "codes")])
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, _SEGMENT).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    rows.mapInArrow(encode, _SEGMENT).write.mode("overwrite").option("compression", "uncompressed").parquet(path)
+
+
+def token_at(spark: SparkSession, path: str, doc_id: int, i: int) -> int | None:
+    """Id ``i`` of a document (of repeated ids the first one); None if there is none.
+
+    Only segments whose range of ids holds ``doc_id`` are read, one at a time;
+    in its segment the id is found through ranks alone.
+    """
+    segments = spark.read.schema(_SEGMENT).parquet(path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    for row in segments.orderBy("part", "seq").select("n_docs", "doc_ids", "doc_nulls", "lengths", "codes").toLocalIterator():
+        nulls = np.unpackbits(np.frombuffer(row["doc_nulls"], np.uint8))[: row["n_docs"]].astype(bool)
+        place = np.flatnonzero((np.frombuffer(row["doc_ids"], "<i8") == doc_id) & ~nulls)
+        if len(place):
+            lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+            return Codes(row["codes"])[int(lengths[: place[0]].sum()) + i] if 0 <= i < lengths[place[0]] else None
+    return None
 
 
 def read_token_codes(spark: SparkSession, path: str) -> DataFrame:

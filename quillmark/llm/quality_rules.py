@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import BYTE_VALUE, EXACT_VALUE, IS_SPACE, U64, doc_slices, mix, span_hashes, text_bytes, window_hashes, word_spans
+from quillmark.llm.common import BYTE_VALUE, EXACT_VALUE, IS_SPACE, U64, Scratch, doc_slices, forget, mix, span_hashes, text_bytes, window_hashes, word_spans
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -147,6 +147,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior
 
 def _per_text(column: pa.Array):
     """Statistics and votes of a column's texts."""
+    forget()
     data, offsets = text_bytes(column)
     parts = []
     for a, b in doc_slices(offsets):
@@ -159,6 +160,18 @@ def _code(votes: np.ndarray) -> np.ndarray:
     return votes.astype(np.int64) @ (3 ** np.arange(votes.shape[1]))
 
 
+def _fit_counts(found) -> VoteModel:
+    """From rows (code, n); at most 3**8 of them."""
+    codes = np.array(sorted(r["code"] for r in found), np.int64)
+    by_code = {r["code"]: r["n"] for r in found}
+    counts = np.array([by_code[c] for c in codes.tolist()], float)
+    return fit_votes(_patterns(codes), counts)
+
+
+def _patterns(codes: np.ndarray) -> np.ndarray:
+    return (codes[:, None] // 3 ** np.arange(N_RULES)) % 3
+
+
 def fit_quality(docs: DataFrame, text_column: str = "text") -> VoteModel:
     """Weighs the rules over all texts.
 
@@ -171,33 +184,49 @@ def fit_quality(docs: DataFrame, text_column: str = "text") -> VoteModel:
             code, count = np.unique(_code(_per_text(batch.column(0))[1]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(count)], names=["code", "n"])
 
-    found = docs.select(text_column).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
-    codes = np.array(sorted(r["code"] for r in found), np.int64)
-    by_code = {r["code"]: r["n"] for r in found}
-    counts = np.array([by_code[c] for c in codes.tolist()], float)
-    patterns = (codes[:, None] // 3 ** np.arange(N_RULES)) % 3
-    return fit_votes(patterns, counts)
+    return _fit_counts(docs.select(text_column).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect())
 
 
-def judge_quality(docs: DataFrame, model: VoteModel, least: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Statistics, base rule, posterior quality and verdict of every text.
+def text_votes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Statistics, base rule and coded votes of every text.
 
     base_failed: fewer than 10 words, or more than 20 % of them in repeated
-    5-word windows.  kept: not base_failed and the posterior is at least
-    ``least``.  A null text is an empty one and fails.  One pass; rows keep
-    their ids as they are.
+    5-word windows.  A null text is an empty one.  One pass; rows keep their
+    ids as they are, null or repeated; long texts are counted whole.
     """
 
     def run(batches):
         for batch in batches:
             stats, votes = _per_text(batch.column(1))
-            quality = model.posterior(votes)
             failed = (stats["n_words"] < 10) | (100 * stats["n_repeat_words"] > 20 * stats["n_words"])
-            columns = [batch.column(0), *(pa.array(stats[k]) for k in STATS[:5]), pa.array(failed), pa.array(quality), pa.array(~failed & (quality >= least))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *STATS[:5], "base_failed", "quality", "kept"])
+            columns = [batch.column(0), *(pa.array(stats[k]) for k in STATS[:5]), pa.array(failed), pa.array(_code(votes))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *STATS[:5], "base_failed", "code"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean")
+    return rows.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, code long")
+
+
+def judge_quality(docs: DataFrame, model: VoteModel | None = None, least: float = 0.5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Statistics, base rule, posterior quality and verdict of every text.
+
+    kept: not base_failed and the posterior is at least ``least``, so a text
+    whose posterior is just that stays.  Without a model one is fitted to these
+    texts; their votes are written once and serve both.  A null text fails; an
+    empty table gives no rows.
+    """
+    votes = text_votes(docs, id_column, text_column)
+    if model is None:
+        votes = Scratch(docs.sparkSession, "quality").write(votes, "votes")
+        model = _fit_counts(votes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect())
+
+    def run(batches):
+        for batch in batches:
+            quality = model.posterior(_patterns(batch.column(7).to_numpy()))
+            kept = ~batch.column(6).to_numpy(zero_copy_only=False).astype(bool) & (quality >= least)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(quality), pa.array(kept)], names=[*batch.schema.names[:7], "quality", "kept"])
+
+    fields = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    return votes.mapInArrow(run, f"{fields}, quality double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: VoteModel, least: float = 0.5, text_column: str = "text") -> DataFrame:
@@ -216,4 +245,4 @@ def keep_good(docs: DataFrame, model: VoteModel, least: float = 0.5, text_column
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics, base verdict, posterior quality and verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge_quality(docs, fit_quality(docs))
+    return judge_quality(docs)

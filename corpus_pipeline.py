@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import Scratch
@@ -13,6 +13,9 @@ from quillmark.llm.packing import packed_digest
 from quillmark.llm.quality_rules import fit_quality, keep_good
 from quillmark.llm.toxicity import fit_toxicity, keep_harmless
 
+#: The name of the row key that the stage of near copies adds and takes away.
+ROW = "__row"
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity reaches the threshold."""
@@ -37,11 +40,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays;
-    rows with one id stay or go together."""
-    found = ngram_components(docs, size=5, threshold=80)
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row stays: that with the smallest id
+    (null ids last), of equal ids that with the smallest row key.
+
+    Rows are told apart by where they lie in their files, so rows that share an
+    id or have none are documents of their own, and of equal rows one stays.
+    Rows without words stay.
+    """
+    scratch = Scratch(spark, "near-copies")
+    place = F.unhex(F.concat(F.lpad(F.hex(F.xxhash64("_metadata.file_path")), 16, "0"), F.lpad(F.hex(F.col("_metadata.row_index")), 16, "0")))
+    try:
+        keyed = docs.select("*", place.alias(ROW))
+    except AnalysisException:  # not read from files
+        keyed = scratch.write(docs, "rows").select("*", place.alias(ROW))
+    found = ngram_components(keyed, size=5, threshold=80, row_column=ROW)
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), F.col("doc_id"), F.col(ROW))).alias("first"))
+    stay = first.select(F.col(f"first.{ROW}").alias(ROW)).unionByName(found.where("component IS NULL").select(ROW))
+    return keyed.join(stay.hint("merge"), ROW, "left_semi").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ alphabet go to the library whole.
 from __future__ import annotations
 
 import base64
-import gc
 import re
 from array import array
 
@@ -18,44 +17,54 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quillmark.llm.common import BYTE_VALUE, U64, span_hashes, text_bytes, trim, word_spans, worker_memory
+
 #: Unicode White_Space, which is what ``\\s`` means to the library.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WORDS = re.compile(f"[^{WHITE}]+")
 #: Texts that cannot be cut at every space: a space before white space or at the end.
 _UNEVEN = f" [{WHITE}]| $"
-#: Texts with separators of str.split() that are no White_Space.
-_CONTROL = "[\x1c-\x1f]"
+#: White space besides the bytes that separate words.
+_OTHER_WHITE = "[" + "".join(c for c in WHITE if c > " ") + "]"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[!-~ \n\t\r{_LETTER}]*")
 _BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ \n\t\r{_LETTER}0-9]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+")
 _WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ \n\t\r{_LETTER}0-9]+")
 
 BYTE_LEVEL, WORD_LEVEL = "byte", "word"
+#: Shows whether a tokenizer splits as this module does.
+_PROBE = "It's 1234 o'clock, isn't it?  She'll say \"Ça va!\"\n\n\tFünf-und_zwanzig 日本語 (a+b)=c... <|endoftext|> x\u00a0y don't."
 
 
 class UnitEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    ``kind`` BYTE_LEVEL keeps white space in the pieces (a cut lies before a
+    ``kind`` BYTE_LEVEL keeps white space in the units (a cut lies before a
     space whose next character is no white space, where the pattern always
-    begins a match); WORD_LEVEL drops white space and lower-cases.  At most
-    about ``entries`` pieces of each kind are remembered; beyond that a memory
-    starts afresh, which costs time only.  Special tokens' strings are ordinary
-    text.
+    begins a match); WORD_LEVEL drops white space and lower-cases.  A unit's ids
+    are remembered under its 64-bit hash in a table of ``places`` rows of
+    ``width`` ids, of the units with one row the last; and at most ``entries``
+    of the matches that units consist of.  What is forgotten costs time only.
+    Special tokens' strings are ordinary text.  A tokenizer file whose ids of a
+    probe differ from the library's is not cut at all.
     """
 
-    def __init__(self, path: str, kind: str, entries: int = 700_000):
+    def __init__(self, path: str, kind: str, places: int = 1 << 21, width: int = 7, entries: int = 250_000):
         from tokenizers import Tokenizer
 
-        gc.disable()  # no cycles here, and a collection walks all that is remembered
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.library.encode_special_tokens = True
         self.kind, self.entries = kind, entries
-        self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.keys = np.zeros(places, np.uint64)
+        self.counts = np.zeros(places, np.uint8)
+        self.known = np.zeros((places, width), np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.whole = False
+        column = pa.array([_PROBE, _PROBE.replace(" ", "  "), _PROBE.upper()], pa.large_string())
+        self.whole = self._group(column) != self._by_library(column.to_pylist())
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -82,117 +91,108 @@ class UnitEncoder:
 
     def _values(self, units: list[str]) -> list[bytes]:
         """Ids of each unit."""
-        if len(self.units) > self.entries:
-            self.units.clear()
-        if len(self.pieces) > 2 * self.entries:  # they cost the library's time
-            self.pieces.clear()
-        known = self.units
-        missing = [u for u in units if u not in known]
-        if missing:
-            whole, cut = [], []
-            for unit in missing:
-                parts = self._pieces(unit)
-                if parts is None:
-                    whole.append(unit)
-                else:
-                    cut.append((unit, parts))
-            get = self.pieces
-            new = list({p for _, parts in cut for p in parts if p not in get})
-            get.update(zip(new, self._by_library(new)))
-            for unit, parts in cut:
-                known[unit] = get[parts[0]] if len(parts) == 1 else b"".join([get[p] for p in parts])
-            known.update(zip(whole, self._by_library(whole)))
-        return [known[u] for u in units]
+        cut = [self._pieces(u) for u in units]
+        known = self.pieces
+        new = list({p for parts in cut if parts for p in parts if p not in known})
+        fresh = dict(zip(new, self._by_library(new)))
+        whole = iter(self._by_library([u for u, parts in zip(units, cut) if parts is None]))
+        out = [next(whole) if parts is None else b"".join([fresh[p] if p in fresh else known[p] for p in parts]) for parts in cut]
+        if len(known) + len(fresh) > self.entries:
+            known.clear()
+        known.update((k, v) for k, v in fresh.items() if len(k) <= 64)
+        return out
 
     def _one(self, text: str) -> bytes:
         units = (_WORDS if self.kind == WORD_LEVEL else _UNITS).findall(text)
         return b"".join(self._values(units)) if units else b""
 
+    def _spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and text of every unit of evenly spaced texts."""
+        if self.kind == WORD_LEVEL:
+            return word_spans(data, offsets)
+        first = data == 0x20
+        first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(first)
+        return starts, np.append(starts[1:], len(data)), np.searchsorted(offsets, starts, side="right") - 1
+
     def _group(self, column: pa.Array) -> list[bytes]:
-        odd = pc.match_substring_regex(column, _CONTROL if self.kind == WORD_LEVEL else _UNEVEN).to_numpy(zero_copy_only=False)
+        if self.whole:
+            return self._by_library(column.to_pylist())
+        odd = pc.match_substring_regex(column, _OTHER_WHITE if self.kind == WORD_LEVEL else _UNEVEN).to_numpy(zero_copy_only=False)
         even = np.flatnonzero(~odd)
         out: list[bytes] = [b""] * len(column)
         for i in np.flatnonzero(odd):
             out[i] = self._one(column[int(i)].as_py())
         if not len(even):
             return out
-        column = column.take(pa.array(even)) if len(even) < len(column) else column
-        if self.kind == WORD_LEVEL:
-            split = pc.utf8_split_whitespace(column)
-        else:
-            split = pc.split_pattern(column, " ")
-        coded = split.values.dictionary_encode()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = coded.dictionary.to_pylist()
-        first = split.offsets.to_numpy().astype(np.int64)
-        first = first - first[0]
-        heads = {}
-        if self.kind == BYTE_LEVEL:  # every unit but a text's first begins with its space
-            heads = {int(i): distinct[index[i]] for i in first[:-1]}
-            distinct = [" " + u for u in distinct]
-            extra = sorted(set(heads.values()))
-            place = {u: len(distinct) + j for j, u in enumerate(extra)}
-            for i, u in heads.items():
-                index[i] = place[u]
-            distinct += extra
-        used = np.zeros(len(distinct), bool)
-        used[index] = True
-        empty = [i for i, u in enumerate(distinct) if not u]
-        used[empty] = False
-        at = np.flatnonzero(used)
-        values = [b""] * len(distinct)
-        for i, v in zip(at.tolist(), self._values([distinct[i] for i in at])):
-            values[i] = v
-        flat = np.frombuffer(b"".join(values), "<u4")
-        length = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        begin = np.cumsum(length) - length
-        n = length[index]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[index] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[first]
+        data, offsets = text_bytes(column.take(pa.array(even)) if len(even) < len(column) else column)
+        if not len(data):
+            return out
+        starts, ends, doc = self._spans(data, offsets)
+        hashes = span_hashes(data, starts, ends, BYTE_VALUE)
+        place = (hashes & U64(len(self.keys) - 1)).astype(np.int64)
+        hit = (self.keys[place] == hashes) & (self.counts[place] > 0)
+        count, base = self.counts[place].astype(np.int64), place * self.known.shape[1]
+        fresh = np.zeros(0, "<u4")
+        new = np.flatnonzero(~hit)
+        if len(new):
+            distinct, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            raw, at = data.tobytes(), new[first]
+            values = self._values([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            fresh = np.frombuffer(b"".join(values), "<u4")
+            size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            begin = np.cumsum(size) - size
+            count[new], base[new] = size[back], begin[back]
+        last = np.cumsum(count)
+        total = int(last[-1]) if len(last) else 0
+        source = np.repeat(base - (last - count), count) + np.arange(total)
+        held = np.repeat(hit, count)
+        ids = np.empty(total, "<u4")
+        ids[held] = self.known.reshape(-1)[source[held]]
+        ids[~held] = fresh[source[~held]]
+        if len(new):  # of new units with one place the last is remembered
+            width = self.known.shape[1]
+            small = np.flatnonzero((size <= width) & (size > 0))
+            slot = place[at[small]]
+            column_of = np.minimum(begin[small][:, None] + np.arange(width), len(fresh) - 1) if len(small) else np.zeros((0, width), np.int64)
+            self.keys[slot], self.counts[slot], self.known[slot] = distinct[small], size[small], fresh[column_of]
+        cuts = np.concatenate([[0], last])[np.searchsorted(doc, np.arange(len(even) + 1))]
         for j, i in enumerate(even):
             out[i] = ids[cuts[j] : cuts[j + 1]].tobytes()
         return out
 
-    def encode(self, texts, group_bytes: int = 1 << 23):
+    def encode(self, texts, group_bytes: int = 1 << 21):
         """Yields the ids of one text after the other; a null is an empty text.
 
         texts: a list or an Arrow column.  Groups of about ``group_bytes`` are
         cut into pieces, and their distinct pieces looked up, at a time.
         """
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
-        column = pc.fill_null(column.cast(pa.large_string()), "")
-        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         first = 0
         while first < len(column):
             begun = int(ends[first - 1]) if first else 0
             last = max(first + 1, int(np.searchsorted(ends, begun + group_bytes, side="right")))
-            yield from self._group(column.slice(first, last - first))
+            yield from self._group(pc.fill_null(column.slice(first, last - first).cast(pa.large_string()), ""))
             first = last
-
-
-_ENCODERS: dict[tuple[str, str], UnitEncoder] = {}
+        trim()
 
 
 def unit_encoder(path: str, kind: str) -> UnitEncoder:
     """One encoder for each Python worker; its memory outlives a task."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = UnitEncoder(path, kind)
-    return _ENCODERS[path, kind]
-
-
-_RANKED: dict = {}
+    return worker_memory(("units", path, kind), lambda: UnitEncoder(path, kind))
 
 
 def rank_encoding(path: str, pattern: str):
     """A tiktoken encoding from a local rank file, without special tokens."""
     import tiktoken
 
-    if (path, pattern) not in _RANKED:
+    def load():
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _RANKED[path, pattern] = tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _RANKED[path, pattern]
+        return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return worker_memory(("ranks", path, pattern), load)
 
 
 def safe_parts(text: str, limit: int) -> list[str]:

@@ -78,13 +78,33 @@ def test_token_codes(spark, odd, empty, tmp_path):
         ids = [*library_ids("byte_bpe_50k.json", text), 0]
         assert (row["doc_id"], row["start"], row["n_tokens"], row["ids_crc32"]) == (doc, start, len(ids), crc(ids))
         start += len(ids)
+    for doc in (1, 7, 11):
+        ids = [*library_ids("byte_bpe_50k.json", dict(ODD)[doc]), 0]
+        for i in {0, len(ids) // 2, len(ids) - 1}:
+            assert token_codes.token_at(spark, str(tmp_path / "a"), doc, i) == ids[i]
+        assert token_codes.token_at(spark, str(tmp_path / "a"), doc, len(ids)) is None
+    assert token_codes.token_at(spark, str(tmp_path / "a"), 99, 0) is None
     token_codes.write_token_codes(empty, str(tmp_path / "b"), path)
     assert token_codes.read_token_codes(spark, str(tmp_path / "b")).count() == 0
 
 
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", tokenizing.BYTE_LEVEL), ("word_bpe_49k.json", tokenizing.WORD_LEVEL)])
+def test_another_splitting_is_not_cut(name, kind):
+    other = tokenizing.WORD_LEVEL if kind == tokenizing.BYTE_LEVEL else tokenizing.BYTE_LEVEL
+    encoder = tokenizing.UnitEncoder(tokenizing.tokenizer_path(name), other)
+    assert encoder.whole and not tokenizing.UnitEncoder(tokenizing.tokenizer_path(name), kind).whole
+    texts = ["Two words, one's 12.", "", "  x "]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [library_ids(name, t) for t in texts]
+
+
+def test_worker_keeps_one_memory():
+    made = [tokenizing.worker_memory((n,), object) for n in (1, 1, 2, 1)]
+    assert made[0] is made[1] and made[3] is not made[0]
+
+
 @pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", tokenizing.BYTE_LEVEL), ("word_bpe_49k.json", tokenizing.WORD_LEVEL)])
 def test_units_equal_whole_texts(name, kind):
-    encoder = tokenizing.UnitEncoder(tokenizing.tokenizer_path(name), kind, entries=3)
+    encoder = tokenizing.UnitEncoder(tokenizing.tokenizer_path(name), kind, places=16, width=2, entries=3)
     texts = [t for _, t in ODD] + ["a\n \nb", "x  \n", " lead", "trail ", "tab\t\tx \t y", "a\u00a0 b", "don't\u2028 stop"]
     for _ in range(2):
         for text, ids in zip(texts, encoder.encode(texts, group_bytes=50), strict=True):
@@ -195,6 +215,43 @@ def test_ngram_join_equals_brute_force(spark, size, threshold, rare):
     assert sorted((key(r), r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, size, threshold)
 
 
+def continuum(n):
+    """A large group whose pairs lie between similarities of about 0.4 and 0.95, beside smaller ones."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g, m in ((0, n), (1, n // 4), (2, 5)):
+        base = [f"g{g}w{k}" for k in range(150)]
+        for _ in range(m):
+            words = list(base)
+            for k in rng.choice(150, int(rng.integers(0, 9)), replace=False):
+                words[k] = f"x{int(rng.integers(40))}"
+            if rng.random() < 0.2:
+                words = words[: int(rng.integers(120, 150))]
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("size, threshold, rare, chunk", [(4, 85, 2, 16), (5, 80, 16, 1024)])
+def test_ngram_join_of_a_continuum(spark, size, threshold, rare, chunk):
+    rows = continuum(120)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.ngram_components(df, size, threshold, rare=rare, block_bytes=20_000, bucket_tokens=500, chunk_rows=chunk).collect()
+    want = brute_components(rows, size, threshold)
+    assert 5 < len({c for _, _, c in want}) < len(rows) - 20  # some link, some do not
+    assert sorted((key(r), r["n_shingles"], r["component_id"]) for r in got) == want
+
+
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(np.concatenate([rng.integers(0, 50, 30), rng.integers(100, 2000, 40)])) for _ in range(60)]
+    row, token = np.repeat(np.arange(60), list(map(len, sets))), np.concatenate(sets).astype(np.uint64)
+    for left, right in ((np.arange(60), np.arange(60)), (np.arange(0, 60, 2), np.arange(1, 60, 2))):
+        got = ngram_join.overlaps(row, token, left, right, 60, heavy=8, width=7)
+        for i, a in enumerate(left):
+            for j, b in enumerate(right):
+                assert a == b or got[i, j] == len(np.intersect1d(sets[a], sets[b]))
+
+
 def test_ngram_join_odd(odd, empty):
     got = ngram_join.ngram_components(odd).collect()
     want = {(k, n, c) for k, n, c in brute_components(ODD, 4, 85)}
@@ -293,6 +350,30 @@ def test_vectors_in_a_hot_cluster(spark):
     assert [got[i] for i in range(2_000)] == close.sum(1).tolist()
 
 
+def test_vectors_of_several_lengths_and_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for width, n in ((12, 900), (7, 300)):
+        base = rng.standard_normal((n, width))
+        for k in range(n):
+            v = base[k] if k % 3 else base[k - k % 9] + 0.08 * rng.standard_normal(width)
+            rows.append((len(rows), [float(np.float32(x)) for x in v]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {r["vec_id"]: r["component_id"] for r in vector_neardup.near_vectors(df, window=16).collect()}
+    want, met, pairs = {}, 0, 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(rows[a][1]) == len(rows[b][1]):
+                x, y = np.array(rows[a][1]), np.array(rows[b][1])
+                if x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.9:
+                    pairs += 1
+                    met += got[a] == got[b]
+                    want.setdefault(a, b)
+    assert pairs > 100 and met >= 0.99 * pairs
+    assert all((a in want) or (got[a] == a) or any(got[a] == got[b] for b in want) for a in got)
+    assert len({len(rows[i][1]) for i in got if got[i] != i}) == 2
+
+
 def test_vectors_odd(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_neardup.near_vectors(empty).count() == 0
@@ -364,6 +445,34 @@ def test_line_dedup_odd(odd, empty):
 # 8 -------------------------------------------------------------------------------
 
 
+def test_line_dedup_equals_all_pairs(spark):
+    """Every block that two documents share goes from the later one."""
+    rng = np.random.default_rng(7)
+    pool = [" ".join(f"l{k}w{j}" for j in range(int(rng.integers(3, 14)))) for k in range(60)]
+    rows = []
+    for d in range(60):
+        lines = [str(rng.choice(pool)) if rng.random() < 0.5 else f"own {d} {k} " + " ".join(f"u{d}x{k}y{j}" for j in range(6)) for k in range(12)]
+        if d % 4 == 0:
+            at = int(rng.integers(50))
+            lines[3:3] = pool[at : at + 4]
+        rows.append((d, "\n".join(lines)))
+    df = spark.createDataFrame([(d, t, 5) for d, t in rows], "doc_id long, text string, lines_deleted int").repartition(3)
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert line_dedup.dedup_lines(df).columns == ["doc_id", "text", "lines_total", "lines_deleted", "blocks_deleted"]
+    whole = {d: t.split("\n") for d, t in rows}
+    for d in whole:
+        places = set()
+        for e in range(d):
+            a, b = [hash(x) | 1 for x in whole[e]], [hash(x) | 1 for x in whole[d]]
+            for x, y in line_dedup.common_blocks(a, b, [len(x.split()) for x in whole[d]], 20):
+                places |= set(range(x, y))
+        # what any earlier document shares as a block is gone; nothing else is
+        gone = len(whole[d]) - len(out[d]["text"].split("\n")) if out[d]["text"] else len(whole[d])
+        assert out[d]["lines_deleted"] == gone
+        left = out[d]["text"].split("\n")
+        assert [x for k, x in enumerate(whole[d]) if k not in places] == left, d
+
+
 def test_quality_counts(odd, empty, documents):
     texts = [(r["doc_id"], r["text"]) for r in documents.collect()][:120] + ODD
     df = documents.sparkSession.createDataFrame(texts, "doc_id long, text string")
@@ -421,6 +530,36 @@ def test_license_suppression():
     assert [h[3] for h in hits] == ["gpl-3-or-later"]
 
 
+def test_license_identifiers_and_containment():
+    scan = license_scan.Scanner()
+    samples = {
+        "GPLv3": "gpl-3", "GPLv2+ or later": "gpl-2-or-later", "LGPLv2.1 or later": "lgpl-2.1-or-later", "Apache-2.0": "apache-2", "SPDX-License-Identifier: Apache-2.0": "apache-2", "SPDX-License-Identifier: MIT": "mit", "EUPL-1.2": "eupl-1.2",
+        "Artistic-2.0": "artistic-2", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3-or-later", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "MPL-2.0": "mpl-2", "AGPL-3.0-only": "agpl-3",
+        "Creative Commons Attribution 4.0 International": "cc-by-4.0", "CC BY-SA 3.0": "cc-by-sa-3.0", "Attribution-NonCommercial License": "cc-by-nc",
+    }
+    for text, label in samples.items():
+        assert scan(text.encode())[5].split(",") == [label], text
+    assert scan(b"the attribution of this painting to 4 0 masters")[5] == ""
+    # a container of lower priority goes, overlaps in part stay
+    scan.rules = [("k", "long", 1, re.compile("(?<= )a k b(?= )")), ("k", "short", 2, re.compile("(?<= )k(?= )")), ("k", "next", 1, re.compile("(?<= )b c(?= )"))]
+    scan.keywords.clear()
+    scan.keywords.add_word("k", [0, 1, 2])
+    scan.keywords.make_automaton()
+    assert [h[3] for h in scan.rule_hits(" a k b c ")] == ["short", "next"]
+
+
+def test_license_long_text_is_linear():
+    import time
+
+    scan, spent = license_scan.Scanner(), []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        found = scan(b"under the mit license gpl version 3 or later " * n)
+        spent.append(time.process_time() - began)
+        assert found[1] == n
+    assert spent[1] < 10 * spent[0]
+
+
 def test_license_gates_let_their_rules_pass():
     scan = license_scan.Scanner((("a phrase of the caller", "own"),))
     samples = {
@@ -437,7 +576,7 @@ def test_license_gates_let_their_rules_pass():
 def test_urls(spark):
     rows = [
         (1, "https://a.example.com/en/7?x", "com/en/"), (2, None, None), (3, "no scheme", None), (4, "HTTP://WWW.Example.COM/en/71#t", "example.com/en/7"), (5, "x://com/en/", "com/en/"), (6, "x://scom/en/", "com/en/"),
-        (7, "ftp://b.net/de/", "net/de/"), (8, "ftp://example.net/de/8", "example.net/de/8"), (9, "https://cheap-pills.example.xx/", None), (10, "https://pornography.xx/", None), (11, "https://free.win.xx/", None), (12, "https://free.xx/free", None), (12, "https://free.xx/free", None),
+        (7, "ftp://b.net/de/", "net/de/"), (8, "ftp://example.net/de/8", "example.net/de/8"), (9, "https://cheap-pills.example.xx/", None), (10, "https://pornography.xx/", None), (11, "https://free.poker.xx/", None), (13, "https://free.win.xx/deals", None), (14, "https://free-download.click.xx/", None), (12, "https://free.xx/free", None), (12, "https://free.xx/free", None),
     ]
     df = spark.createDataFrame([(i, u, "h") for i, u, _ in rows], "page_id long, url string, host string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df).collect()}
@@ -446,7 +585,10 @@ def test_urls(spark):
     assert got[4] == ("www.example.com", "/en/71", "example.com/en/7", "allow")
     assert got[5][2:] == ("com/en/", "block") and got[6][2:] == (None, "allow")
     assert got[7][3] == "allow" and got[8][2:] == ("example.net/de/8", "block")
-    assert [got[i][3] for i in (9, 10, 11, 12)] == ["block", "allow", "block", "allow"]
+    assert [got[i][3] for i in (9, 10, 11, 12, 13, 14)] == ["block", "allow", "block", "allow", "allow", "block"]
+    same = url_filter.RuleTable((("xx", "/abc", "block"), ("a.xx", "/a", "allow")))
+    assert same("a.xx", "/abcd") == ("a.xx/a", "allow")  # equally long: the longer host
+    assert url_filter.RuleTable((("xx", "/abcd", "block"), ("a.xx", "/a", "allow")))("a.xx", "/abcd") == ("xx/abcd", "block")
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
@@ -481,6 +623,27 @@ def test_pipeline_stages(spark, documents):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == after
 
 
+def test_pipeline_stages_on_odd_tables(spark, odd, empty, tmp_path_factory):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns and empty tables pass all stages."""
+    import corpus_pipeline
+
+    rich = odd.withColumn("lines_total", F.lit(3)).withColumn("component", F.lit("c")).withColumn("n_chars", F.length("text").cast("long"))
+    for docs in (rich, rich.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = Scratch(spark, "odd").write(stage(spark, docs, SF), "out")
+            assert docs.columns == rich.columns, name
+        corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
+
+
+def test_near_copies_go_by_row(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a), (2, a + " end"), (2, b), (None, b + " end"), (None, None), (7, ""), (8, "c d"), (8, "c d"), (9, "e f")]
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(1, a), (2, b), (None, None), (7, ""), (8, "c d"), (9, "e f")]))
+
+
 def test_digest_of_line_dedup(spark, documents):
     out = line_dedup.op7_line_dedup(spark, SF).where("lines_deleted = 0").collect()
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}

@@ -25,6 +25,7 @@ class RetrievalConfig:
     least_dense: float = 0.20
     least_bm25: float = 0.20
     stop_words: tuple[str, ...] = ()
+    compatibility: bool = False
 
 
 @dataclass(frozen=True)

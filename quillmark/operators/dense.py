@@ -23,21 +23,21 @@ def _query_blocks(queries: DataFrame, size: int):
 
 
 def _best(ids: np.ndarray, matrix: np.ndarray, top: int):
-    """A task's own ``top`` rows for each query of a block."""
+    """A task's own ``top`` rows for each query of a block; of equal scores the smaller id."""
     step = max(1, SCORES // len(ids))
 
     def best(batches):
-        kept = None
+        scores, found = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
         for batch in batches:
             for a in range(0, len(batch), step):
                 part = batch.iloc[a : a + step]
-                scores = np.array(part["vec"].tolist(), np.float64) @ matrix.T
-                found = pd.DataFrame({"query_id": np.tile(ids, len(part)), "vec_id": np.repeat(part["vec_id"].to_numpy(), len(ids)), "score": scores.ravel()})
-                found = found if kept is None else pd.concat([kept, found])
-                found["key"] = found["score"].round(9)
-                kept = found.sort_values(["query_id", "key", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(top).drop(columns="key")
-        if kept is not None:
-            yield kept
+                own = matrix @ np.array(part["vec"].tolist(), np.float64).T
+                every = np.concatenate([scores, own], axis=1)
+                which = np.concatenate([found, np.tile(part["vec_id"].to_numpy(), (len(ids), 1))], axis=1)
+                order = np.lexsort((which, -every.round(9)), axis=1)[:, :top]
+                scores, found = np.take_along_axis(every, order, 1), np.take_along_axis(which, order, 1)
+        if found.shape[1]:
+            yield pd.DataFrame({"query_id": np.repeat(ids, found.shape[1]), "vec_id": found.ravel(), "score": scores.ravel()})
 
     return best
 

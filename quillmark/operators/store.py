@@ -72,7 +72,7 @@ def title_search(papers: DataFrame, query: str, year: str | None = None, limit:
 
 
 def prefix_search(papers: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
-    return papers.where(F.upper("date_id").startswith(prefix.upper())).orderBy("date_id").limit(clamp(limit, 50))
+    return papers.where(F.col("date_id").startswith(prefix.upper())).orderBy("date_id").limit(clamp(limit, 50))
 
 
 def bounds(paragraphs: DataFrame) -> DataFrame:
@@ -97,10 +97,16 @@ def range_info(paragraphs: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def _by_prefix(requests: DataFrame, documents: DataFrame, prefix: str, longest: int = 16) -> DataFrame:
+    """Requests with the documents whose id begins so: an equality of prefixes,
+    of which a document has one for each length; longer ones cannot fit an id."""
+    own = documents.withColumn("__p", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("date_id"), F.lit(longest))), lambda n: F.substring("date_id", F.lit(1), n))))
+    return own.join(requests.where(F.length(prefix).between(1, longest)), F.col("__p") == F.col(prefix)).drop("__p")
+
+
 def head_split(paragraphs: DataFrame, prefixes: DataFrame, head: int) -> DataFrame:
     """A head of paragraphs for each prefix, split evenly over the documents it names."""
-    p = prefixes.select("request_id", "prefix")
-    docs = paragraphs.select("date_id").distinct().join(p, F.col("date_id").startswith(F.col("prefix")))
+    docs = _by_prefix(prefixes.select("request_id", "prefix"), paragraphs.select("date_id").distinct(), "prefix")
     share = Window.partitionBy("request_id")
     docs = docs.withColumn("quota", F.greatest(F.lit(1), F.floor(F.lit(head) / F.count(F.lit(1)).over(share))))
     order = Window.partitionBy("request_id", "date_id").orderBy(*paragraph_order())
@@ -122,7 +128,7 @@ def resolve(papers: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, date_id): exact id, else ids with that prefix, else title; the first that finds anything."""
     r, p = requests.select("request_id", "ask"), papers.select("date_id", "title")
     exact = r.join(p, F.upper("ask") == F.col("date_id")).select("request_id", "date_id", F.lit(1).alias("priority"))
-    prefix = r.join(p, F.col("date_id").startswith(F.upper("ask"))).select("request_id", "date_id", F.lit(2).alias("priority"))
+    prefix = _by_prefix(r.select("request_id", F.upper("ask").alias("ask")), p, "ask").select("request_id", "date_id", F.lit(2).alias("priority"))
     title = r.join(p, F.contains(F.lower("title"), F.lower("ask"))).select("request_id", "date_id", F.lit(3).alias("priority"))
     every = exact.unionByName(prefix).unionByName(title)
     first = Window.partitionBy("request_id").orderBy("priority")

@@ -1,4 +1,6 @@
-"""The document store over the driver's tables: documents, paragraphs, units, vectors."""
+"""The document store over the driver's tables: documents, paragraphs, units, vectors.
+
+The ids that documents get repeat after 38,304 of them; later rounds are numbered."""
 
 from __future__ import annotations
 
@@ -10,25 +12,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_ordinals(df: DataFrame, bucket, order: list[str], name: str = "ord") -> DataFrame:
-    """Consecutive numbers from 0 in ``order``, whose first part is ``bucket``.
+def document_starts(sizes: DataFrame, bucket, key: str = "date_id", size: str = "n", name: str = "start") -> DataFrame:
+    """(key, start): how many rows stand before each document in the order of ``key``.
 
-    Rows are numbered within a bucket in parallel; only one row for each bucket
-    meets in a single window.
+    ``bucket`` is a prefix of the order.  Documents are summed up within their
+    bucket in parallel; only one row for each bucket meets in a single window.
     """
-    df = df.withColumn("__b", bucket)
-    sizes = df.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select(key, size, bucket.alias("__b"))
+    totals = sizes.groupBy("__b").agg(F.sum(size).alias("__n"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return df.withColumn("__r", rank).join(starts, "__b").withColumn(name, F.col("__r") - 1 + F.col("__s")).drop("__b", "__r", "__s")
+    starts = totals.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    within = Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__w", F.coalesce(F.sum(size).over(within), F.lit(0)))
+    return sizes.join(starts, "__b").select(key, (F.col("__s") + F.col("__w")).alias(name))
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, date_id, title, source, language, text."""
     d = table(spark, sf_dir, "documents")
     two = lambda c: F.lpad(F.expr(c).cast("string"), 2, "0")
-    date_id = F.concat(F.expr("cast(47 + doc_id % 19 as string)"), F.lit("-"), two("1 + (doc_id div 19) % 12"), two("1 + (doc_id div 228) % 28"), F.expr("substr('SMABEX', cast(1 + (doc_id div 6384) % 6 as int), 1)"))
+    date_id = F.concat(F.expr("cast(47 + doc_id % 19 as string)"), F.lit("-"), two("1 + (doc_id div 19) % 12"), two("1 + (doc_id div 228) % 28"), F.expr("substr('SMABEX', cast(1 + (doc_id div 6384) % 6 as int), 1)"), F.expr("if(doc_id >= 38304, concat('.', cast(doc_id div 38304 as string)), '')"))
     title = F.substring(F.split("text", "\n")[0], 1, 60)
     return d.select("doc_id", date_id.alias("date_id"), title.alias("title"), "source", F.coalesce("lang", F.lit("en")).alias("language"), "text")
 
@@ -41,15 +44,16 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line units: date_id, chunk_index, chunk_id, text, ord."""
-    rows = paragraphs(spark, sf_dir).select("date_id", (F.col("paragraph_no") - 1).alias("chunk_index"), "text")
-    rows = rows.withColumn("chunk_id", F.concat("date_id", F.lit("_chunk_"), F.col("chunk_index").cast("string")))
-    return with_ordinals(rows, F.substring("date_id", 1, 5), ["date_id", "chunk_index"])
+    p = papers(spark, sf_dir)
+    starts = document_starts(p.select("date_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n")), F.substring("date_id", 1, 5))
+    rows = paragraphs(spark, sf_dir).select("date_id", (F.col("paragraph_no") - 1).alias("chunk_index"), "text").join(starts, "date_id")
+    return rows.select("date_id", "chunk_index", "text", F.concat("date_id", F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("chunk_id"), (F.col("start") + F.col("chunk_index")).alias("ord"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
 
 
-def query_units(units_: DataFrame, step: int = 25, below: int = 500) -> DataFrame:
-    """The query batch: query_id, text of every 25th of the first 500 units."""
-    return units_.where((F.col("ord") % step == 0) & (F.col("ord") < below)).select(F.col("ord").alias("query_id"), "text")
+def query_units(units_: DataFrame, step: int = 100) -> DataFrame:
+    """The query set: query_id, text of every unit whose number ``step`` divides."""
+    return units_.where(F.col("ord") % step == 0).select(F.col("ord").alias("query_id"), "text")

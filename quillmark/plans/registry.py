@@ -10,6 +10,7 @@ from quillmark.functions import answers, text as T
 from quillmark.operators import audit, chunking, dense, evaluate, fusion, lexical, store
 from quillmark.plans import corpus as C
 from quillmark.sources import readers
+from quillmark.sources.workspace import Workspace
 from quillmark.streaming import deltas
 
 QUERIES: dict = {}
@@ -30,11 +31,11 @@ def query(sql: str | None = None):
 # --- SQL of the shared views --------------------------------------------------
 
 DOCS = """docs AS (SELECT doc_id, CAST(47 + doc_id % 19 AS VARCHAR) || '-' || lpad(CAST(1 + (doc_id // 19) % 12 AS VARCHAR), 2, '0') || lpad(CAST(1 + (doc_id // 228) % 28 AS VARCHAR), 2, '0')
-  || substr('SMABEX', CAST(1 + (doc_id // 6384) % 6 AS INT), 1) AS date_id, substr(string_split(text, chr(10))[1], 1, 60) AS title, source, coalesce(lang, 'en') AS language, text FROM documents)"""
+  || substr('SMABEX', CAST(1 + (doc_id // 6384) % 6 AS INT), 1) || CASE WHEN doc_id >= 38304 THEN '.' || CAST(doc_id // 38304 AS VARCHAR) ELSE '' END AS date_id, substr(string_split(text, chr(10))[1], 1, 60) AS title, source, coalesce(lang, 'en') AS language, text FROM documents)"""
 LINES = DOCS + """, lines AS (SELECT date_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM docs),
 paras AS (SELECT date_id, CAST(pos + 1 AS INT) AS paragraph_no, '' AS sub_id, text FROM lines)"""
 UNITS = LINES + """, units AS (SELECT date_id, pos AS chunk_index, date_id || '_chunk_' || pos AS chunk_id, text, row_number() OVER (ORDER BY date_id, pos) - 1 AS ord FROM lines),
-qs AS (SELECT ord AS query_id, text FROM units WHERE ord % 25 = 0 AND ord < 500)"""
+qs AS (SELECT ord AS query_id, text FROM units JOIN embeddings ON vec_id = ord WHERE ord % 100 = 0)"""
 
 
 def words_sql(column: str) -> str:
@@ -58,7 +59,7 @@ bm25 AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_i
 
 
 DENSE = """dense0 AS (SELECT * FROM (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS rank,
-  v.vec_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 25 = 0 AND q.vec_id < 500) WHERE rank <= 25)"""
+  v.vec_id, list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE rank <= 25)"""
 CHAR_LANG = "CASE WHEN regexp_matches(text, '[¿¡«»]') OR regexp_matches(text, '[À-ÖØ-öø-ɏ]') OR regexp_matches(text, '[\\p{Han}\\p{Hiragana}\\p{Katakana}\\p{Hangul}\\p{Cyrillic}\\p{Arabic}\\p{Hebrew}\\p{Thai}\\p{Devanagari}\\p{Bengali}\\p{Greek}]') THEN 'non-en' ELSE 'en' END"
 HYBRID = (
     UNITS + ", eng AS (SELECT * FROM qs WHERE " + CHAR_LANG + " = 'en'), " + bm25_sql("units", "ord", "eng") + ", " + DENSE + """,
@@ -84,10 +85,12 @@ QUOTE_SQL = "regexp_matches(text, '(?i)" + "|".join(p.replace("'", "''") for p i
 
 
 def _hybrid(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    units = C.units(spark, sf).persist()
+    """All stages; units and hits are written once and read by every later stage."""
+    work = Workspace(spark, "hybrid")
+    units = work.write(C.units(spark, sf), "units")
     vectors = C.vectors(spark, sf)
-    asked = C.query_units(units).join(vectors.where("vec_id % 25 = 0 AND vec_id < 500").withColumnRenamed("vec_id", "query_id"), "query_id")
-    return fusion.hybrid_retrieve(units, vectors, C.papers(spark, sf), asked, CONFIG) | {"units": units, "queries": asked}
+    asked = C.query_units(units).join(vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), "query_id")
+    return fusion.hybrid_retrieve(units, vectors, C.papers(spark, sf), asked, CONFIG, work) | {"units": units, "queries": asked}
 
 
 _R = lambda *names: [F.round(n, 6).alias(n) for n in names]
@@ -152,10 +155,13 @@ def ascii_language_gate(spark, sf):
     return d.select("doc_id", T.english_request(F.col("text"), F.lit("")).alias("plain"), T.english_request(F.col("text"), F.col("lang")).alias("hinted"))
 
 
+#: The oracles' own copies of fixed values, so that a change of the library's shows.
+_SCRIPTURE = "bible biblical scriptural scripturally scripture verse verses genesis exodus psalm habakkuk isaiah matthew mark luke john romans corinthians galatians ephesians revelation tithe tithing cain abel".split() + ["old testament", "new testament"]
+_COMPARING = ("compare", "comparison", "contrast", "versus", " vs ", "against", "difference between", "similarities between")
 _HAS = lambda words, c: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
 
-@query(f"SELECT doc_id, {_HAS(T.SCRIPTURE_WORDS, 'lower(text)')} OR regexp_matches(text, '{T.SCRIPTURE_REFERENCE}') AS scripture, {_HAS(T.COMPARISON_WORDS, chr(39) + ' ' + chr(39) + ' || lower(text) || ' + chr(39) + ' ' + chr(39))} AS comparison FROM documents")
+@query(f"SELECT doc_id, {_HAS(_SCRIPTURE, 'lower(text)')} OR regexp_matches(text, '\\b([1-3]\\s*)?[A-Za-z]+\\s+[0-9]+:[0-9]+(-[0-9]+)?\\b') AS scripture, {_HAS(_COMPARING, chr(39) + ' ' + chr(39) + ' || lower(text) || ' + chr(39) + ' ' + chr(39))} AS comparison FROM documents")
 def query_intents(spark, sf):
     return C.table(spark, sf, "documents").select("doc_id", T.scripture_question(F.col("text")).alias("scripture"), T.comparison_question(F.col("text")).alias("comparison"))
 
@@ -169,13 +175,15 @@ def unclear_gate(spark, sf):
 
 
 _SUBJECT = r"(?:the\s+author|the\s+speaker|he|his|him)"
+_DATUM = r"(?:model|year|trim|brand|make|color|colour|license\s*plate|phone|height|weight|(?:exact\s+)?(?:home\s+)?(?:street\s+)?address|(?:favorite|favourite)\s+(?:hymn|song|verse|chapter|book|movie|food|meal|drink))"
 _FACTS = "|".join((
-    rf"\bwhat\s+{T.FACT_NOUN}\s+(?:of\s+\w+\s+)?(?:did|was|is|does)\s+{_SUBJECT}\b", rf"\bwhat\s+(?:was|is)\s+{_SUBJECT}''?s?\s+(?:\w+\s+){{0,2}}{T.FACT_NOUN}\b",
-    rf"\bwhich\s+\w+(?:\s+{T.FACT_NOUN})?\s+(?:did|was|is|does)\s+{_SUBJECT}\b",
+    rf"\bwhat\s+{_DATUM}\s+(?:of\s+\w+\s+)?(?:did|was|is|does)\s+{_SUBJECT}\b", rf"\bwhat\s+(?:was|is)\s+{_SUBJECT}''?s?\s+(?:\w+\s+){{0,2}}{_DATUM}\b",
+    rf"\bwhat\s+(?:was|is)\s+{_SUBJECT}''?s?\s+personal\s+(?:favorite|favourite)\s+\w+\b", rf"\bwhich\s+\w+(?:\s+{_DATUM})?\s+(?:did|was|is|does)\s+{_SUBJECT}\b",
 ))
+_ANALYSIS = r"\b(?:analysis|analyze|analyse|compare|contrast|explain|teach|teaching|thorough|detailed|comprehensive|overview|summary|study)\b"
 
 
-@query(f"SELECT conv_id, turn, NOT regexp_matches(text, '(?i){T.ANALYSIS_WORDS}') AND regexp_matches(text, '(?i){_FACTS}') AS fact FROM conversations")
+@query(f"SELECT conv_id, turn, NOT regexp_matches(text, '(?i){_ANALYSIS}') AND regexp_matches(text, '(?i){_FACTS}') AS fact FROM conversations")
 def specific_fact_gate(spark, sf):
     return C.table(spark, sf, "conversations").select("conv_id", "turn", T.specific_fact_question(F.col("text")).alias("fact"))
 
@@ -233,7 +241,7 @@ def bm25_guard(spark, sf):
 
 
 def _vector_queries(spark, sf):
-    return C.vectors(spark, sf).where("vec_id % 25 = 0 AND vec_id < 500").withColumnRenamed("vec_id", "query_id")
+    return C.vectors(spark, sf).where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
 
 
 @query(f"WITH {DENSE} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM dense0")
@@ -321,20 +329,20 @@ def point_lookup(spark, sf):
     return store.point_lookup(C.units(spark, sf), "chunk_id", "47-0101S_chunk_1").select("chunk_id", "date_id", "chunk_index", "text")
 
 
-@query(f"WITH {UNITS} SELECT chunk_id, text FROM units WHERE ord % 40 = 0")
+@query(f"WITH {UNITS} SELECT chunk_id, text FROM units")
 def batch_lookup(spark, sf):
     u = C.units(spark, sf)
-    wanted = u.where("ord % 40 = 0").select("chunk_id").unionByName(spark.createDataFrame([("no_chunk_1",)], "chunk_id string"))
+    wanted = u.select("chunk_id").unionByName(spark.createDataFrame([("no_chunk_1",)], "chunk_id string"))
     return store.batch_lookup(u, wanted, "chunk_id").select("chunk_id", "text")
 
 
 def _requests(spark, sf):
-    """One range for every seventh document: bounds reversed, some beyond the end."""
-    p = C.papers(spark, sf).where("doc_id % 7 = 0")
+    """One range for every document: bounds reversed, some beyond the end."""
+    p = C.papers(spark, sf)
     return p.select(F.col("doc_id").alias("request_id"), "date_id", (F.lit(9) - F.col("doc_id") % 5).cast("int").alias("a"), (F.lit(2) + F.col("doc_id") % 3).cast("int").alias("b"), (1 + F.col("doc_id") % 4).cast("int").alias("at"))
 
 
-REQS = "reqs AS (SELECT doc_id AS request_id, date_id, CAST(least(9 - doc_id % 5, 2 + doc_id % 3) AS INT) AS lo, CAST(greatest(9 - doc_id % 5, 2 + doc_id % 3) AS INT) AS hi, CAST(1 + doc_id % 4 AS INT) AS mid FROM docs WHERE doc_id % 7 = 0), bnd AS (SELECT date_id, min(paragraph_no) AS min_no, max(paragraph_no) AS max_no FROM paras GROUP BY 1)"
+REQS = "reqs AS (SELECT doc_id AS request_id, date_id, CAST(least(9 - doc_id % 5, 2 + doc_id % 3) AS INT) AS lo, CAST(greatest(9 - doc_id % 5, 2 + doc_id % 3) AS INT) AS hi, CAST(1 + doc_id % 4 AS INT) AS mid FROM docs), bnd AS (SELECT date_id, min(paragraph_no) AS min_no, max(paragraph_no) AS max_no FROM paras GROUP BY 1)"
 
 
 @query(f"WITH {LINES}, {REQS} SELECT request_id, date_id, paragraph_no, text FROM paras JOIN reqs USING (date_id) WHERE paragraph_no BETWEEN lo AND hi")

@@ -9,8 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from quillmark.functions import text as T
+from quillmark.functions.references import tolerant_json
 
 _LOADED: dict = {}
 
@@ -54,3 +58,51 @@ def rerank(fused: DataFrame, queries: DataFrame, units: DataFrame, score) -> Dat
 def yes_probability(yes, no):
     """softmax(yes, no)[yes] without overflow."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(no - yes))
+
+
+def mean_pool(vectors: Column, mask: Column) -> Column:
+    """The mean of the token vectors (array of arrays) whose mask is 1; zeros without one."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda t: t["m"] == 1), lambda t: t["v"])
+    width = F.size(F.try_element_at(vectors, F.lit(1)))
+    sums = F.aggregate(kept, F.array_repeat(F.lit(0.0), width), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return F.transform(sums, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
+
+
+def last_token_pool(vectors: Column, mask: Column) -> Column:
+    """The vector of the last token whose mask is 1, wherever the padding stands."""
+    return F.try_element_at(vectors, F.array_size(mask) - F.coalesce(F.array_position(F.reverse(mask), 1), F.lit(1)).cast("int") + 1)
+
+
+def first_token_pool(vectors: Column) -> Column:
+    return F.try_element_at(vectors, F.lit(1))
+
+
+def truncate_vector(v: Column, size: int) -> Column:
+    """The leading ``size`` components, to unit length again."""
+    return T.l2_normalize(F.slice(v, 1, size))
+
+
+def instructed(query: Column, template: str, task: str = "") -> Column:
+    """The query inside a model's template with {task} and {query}, or behind a prefix without them."""
+    if "{query}" not in template:
+        return F.concat(F.lit(template), query)
+    before, after = template.replace("{task}", task).split("{query}", 1)
+    return F.concat(F.lit(before), query, F.lit(after))
+
+
+def completion(factory: Callable, key: str):
+    """A slot for a language model: list of message arrays -> texts, as a column function."""
+
+    @F.pandas_udf(StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = _load(factory, key)
+        for messages in batches:
+            yield pd.Series([model([dict(m) for m in own]) for own in messages])
+
+    return run
+
+
+def summaries(reply: Column) -> Column:
+    """struct(conversation_summary, query_summary) of a model's JSON reply; blanks and unreadable replies are null."""
+    own = tolerant_json(reply, "conversation_summary string, query_summary string")
+    return F.struct(*[F.nullif(F.trim(own[c]), F.lit("")).alias(c) for c in ("conversation_summary", "query_summary")])

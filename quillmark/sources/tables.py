@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows whose key is not among the new ones, and the new ones (last of a key by all columns)."""
-    new = new.dropDuplicates(keys)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Old rows whose key is not among the new ones, and of each new key the last row by
+    ``order``; without one, the largest by its other columns' JSON."""
+    own = F.col(order) if order else F.to_json(F.struct(*[c for c in new.columns if c not in keys]))
+    window = Window.partitionBy(*keys).orderBy(own.desc_nulls_last())
+    new = new.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -58,11 +61,11 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select("path", F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("stem"), "content")
 
 
-def corpus_text(units: DataFrame, with_metadata: bool = False) -> DataFrame:
-    """(chunk_id, text): the metadata text where asked for and present."""
-    if with_metadata and "text_with_metadata" in units.columns:
-        return units.select("chunk_id", F.coalesce(F.nullif("text_with_metadata", F.lit("")), "text").alias("text"))
-    return units.select("chunk_id", "text")
+def corpus_text(units: DataFrame, with_metadata: bool = False, limit: int | None = None) -> DataFrame:
+    """(chunk_id, text) in the order of documents and units: the metadata text where asked for and present."""
+    own = F.coalesce(F.nullif("text_with_metadata", F.lit("")), "text") if with_metadata and "text_with_metadata" in units.columns else F.col("text")
+    rows = units.orderBy("date_id", "chunk_index")
+    return (rows if limit is None else rows.limit(limit)).select("chunk_id", own.alias("text"))
 
 
 def save_vectors(vectors: DataFrame, path: str, meta: dict) -> None:
@@ -79,7 +82,16 @@ def load_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/vectors"), meta
 
 
-def export_training(units: DataFrame, path: str) -> None:
-    """Texts for continued training, one JSON object a line, and a CSV of documents."""
-    units.select("text").write.mode("overwrite").json(f"{path}/continued")
-    units.groupBy("date_id").agg(F.count(F.lit(1)).alias("units")).write.mode("overwrite").option("header", True).csv(f"{path}/documents")
+def load_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(vec_id, chunk_id) as ``save_vectors`` wrote them."""
+    return spark.read.schema("vec_id long, chunk_id string").json(f"{path}/ids")
+
+
+def export_training(units: DataFrame, papers: DataFrame, path: str, instruction: str = "Continue in the manner of this document.") -> None:
+    """Texts for continued training and instructions as JSON lines, documents as CSV, and a manifest with counts."""
+    units.select("text").write.mode("overwrite").json(f"{path}/continued_pretrain")
+    titled = units.join(papers.select("date_id", "title"), "date_id", "left")
+    titled.select(F.lit(instruction).alias("instruction"), F.col("title").alias("input"), F.col("text").alias("output")).write.mode("overwrite").json(f"{path}/instruction_tune")
+    counts = units.groupBy("date_id").agg(F.count(F.lit(1)).alias("units"))
+    papers.select("date_id", "title", "language").join(counts, "date_id", "left").write.mode("overwrite").option("header", True).csv(f"{path}/documents")
+    units.agg(F.count(F.lit(1)).alias("units"), F.count_distinct("date_id").alias("documents")).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")

@@ -96,7 +96,7 @@ class Codes:
 _SEGMENT = "part long, seq long, n_docs long, n_ids long, first_id long, last_id long, doc_ids binary, doc_nulls binary, lengths binary, codes binary"
 
 
-def write_token_codes(docs: DataFrame, path: str, tokenizer: str, kind: str = tokenizing.BYTE_LEVEL, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", segment_ids: int = 1 << 20) -> None:
+def write_token_codes(docs: DataFrame, path: str, tokenizer: str, kind: str = tokenizing.BYTE_LEVEL, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", segment_ids: int = 1 << 18) -> None:
     """Encodes every text, appends ``end_id`` and writes segments to ``path``.
 
     Rows are dealt into ranges of the document id and sorted there (repeated

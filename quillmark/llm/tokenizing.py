@@ -10,8 +10,10 @@ alphabet go to the library whole.
 from __future__ import annotations
 
 import base64
+import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,11 @@ _PLAIN = re.compile(f"[!-~ \n\t\r{_LETTER}]*")
 _BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ \n\t\r{_LETTER}0-9]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+")
 _WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ \n\t\r{_LETTER}0-9]+")
 
+_IS_STOP = np.zeros(256, bool)
+_IS_STOP[list(b".,")] = True
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
 BYTE_LEVEL, WORD_LEVEL = "byte", "word"
 #: Shows whether a tokenizer splits as this module does.
 _PROBE = "It's 1234 o'clock, isn't it?  She'll say \"Ça va!\"\n\n\tFünf-und_zwanzig 日本語 (a+b)=c... <|endoftext|> x\u00a0y don't."
@@ -51,6 +58,7 @@ class UnitEncoder:
     """
 
     def __init__(self, path: str, kind: str, places: int = 1 << 21, width: int = 7, entries: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -103,17 +111,30 @@ class UnitEncoder:
         return out
 
     def _one(self, text: str) -> bytes:
-        units = (_WORDS if self.kind == WORD_LEVEL else _UNITS).findall(text)
-        return b"".join(self._values(units)) if units else b""
+        """A text that is not evenly spaced, some thousand units at a time."""
+        units, out = (_WORDS if self.kind == WORD_LEVEL else _UNITS).finditer(text), []
+        while own := [m[0] for m in islice(units, 50_000)]:
+            distinct = list(dict.fromkeys(own))
+            known = dict(zip(distinct, self._values(distinct)))
+            out.append(b"".join([known[u] for u in own]))
+        return b"".join(out)
 
     def _spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and text of every unit of evenly spaced texts."""
+        """Start, end and text of every unit of evenly spaced texts; a full
+        stop or comma that ends a unit after a letter is one of its own."""
         if self.kind == WORD_LEVEL:
-            return word_spans(data, offsets)
-        first = data == 0x20
-        first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-        starts = np.flatnonzero(first)
-        return starts, np.append(starts[1:], len(data)), np.searchsorted(offsets, starts, side="right") - 1
+            starts, ends, doc = word_spans(data, offsets)
+        else:
+            first = data == 0x20
+            first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+            starts = np.flatnonzero(first)
+            ends, doc = np.append(starts[1:], len(data)), np.searchsorted(offsets, starts, side="right") - 1
+        tail = np.flatnonzero(_IS_STOP[data[ends - 1]] & _IS_LETTER[data[np.maximum(ends - 2, 0)]] & (ends - starts > 1))
+        cut = ends[tail] - 1
+        starts, doc = np.insert(starts, tail + 1, cut), np.insert(doc, tail + 1, doc[tail])
+        inner = ends.copy()
+        inner[tail] = cut
+        return starts, np.insert(inner, tail + 1, ends[tail]), doc
 
     def _group(self, column: pa.Array) -> list[bytes]:
         if self.whole:
@@ -161,7 +182,20 @@ class UnitEncoder:
             out[i] = ids[cuts[j] : cuts[j + 1]].tobytes()
         return out
 
-    def encode(self, texts, group_bytes: int = 1 << 21):
+    def _parts(self, text: str, size: int):
+        """A long text in columns of one part each, cut before single spaces;
+        whole if it is not evenly spaced."""
+        if self.whole or re.search(_OTHER_WHITE if self.kind == WORD_LEVEL else _UNEVEN, text):
+            yield pa.array([text], pa.large_string())
+            return
+        first = 0
+        while first < len(text):
+            cut = text.find(" ", first + size)
+            cut = len(text) if cut < 0 else cut
+            yield pa.array([text[first:cut]], pa.large_string())
+            first = cut
+
+    def encode(self, texts, group_bytes: int = 1 << 20):
         """Yields the ids of one text after the other; a null is an empty text.
 
         texts: a list or an Arrow column.  Groups of about ``group_bytes`` are
@@ -173,7 +207,11 @@ class UnitEncoder:
         while first < len(column):
             begun = int(ends[first - 1]) if first else 0
             last = max(first + 1, int(np.searchsorted(ends, begun + group_bytes, side="right")))
-            yield from self._group(pc.fill_null(column.slice(first, last - first).cast(pa.large_string()), ""))
+            own = pc.fill_null(column.slice(first, last - first).cast(pa.large_string()), "")
+            if int(ends[first]) - begun > 2 * group_bytes:
+                yield b"".join(x for part in self._parts(own[0].as_py(), group_bytes) for x in self._group(part))
+            else:
+                yield from self._group(own)
             first = last
         trim()
 

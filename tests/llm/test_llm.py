@@ -105,9 +105,9 @@ def test_worker_keeps_one_memory():
 @pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", tokenizing.BYTE_LEVEL), ("word_bpe_49k.json", tokenizing.WORD_LEVEL)])
 def test_units_equal_whole_texts(name, kind):
     encoder = tokenizing.UnitEncoder(tokenizing.tokenizer_path(name), kind, places=16, width=2, entries=3)
-    texts = [t for _, t in ODD] + ["a\n \nb", "x  \n", " lead", "trail ", "tab\t\tx \t y", "a\u00a0 b", "don't\u2028 stop"]
-    for _ in range(2):
-        for text, ids in zip(texts, encoder.encode(texts, group_bytes=50), strict=True):
+    texts = [t for _, t in ODD] + [LONG.replace("7 ", "7  ", 40), "a\n \nb", "x  \n", " lead", "trail ", "tab\t\tx \t y", "a\u00a0 b", "don't\u2028 stop"]
+    for size in (50, 3000, 1 << 21):
+        for text, ids in zip(texts, encoder.encode(texts, group_bytes=size), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == library_ids(name, text)
 
 

@@ -216,13 +216,14 @@ def corpus_stats(spark, sf):
     return lexical.corpus_stats(lexical.document_stats(C.papers(spark, sf), "doc_id")).select("n", "total", *_R("avgdl"))
 
 
-@query(f"WITH {DOCS}, h AS (SELECT substr(date_id, 1, 5) AS b, sha256(string_agg(sha256(date_id || chr(31) || text), '' ORDER BY date_id)) AS h, count(*) AS c FROM docs GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY b)) AS corpus_hash, CAST(sum(c) AS BIGINT) AS n FROM h")
+@query(f"WITH {DOCS}, d AS (SELECT substr(date_id, 1, 7) AS b, sha256(string_agg(sha256(date_id || chr(31) || text), '' ORDER BY date_id)) AS h, count(*) AS c FROM docs GROUP BY 1), h AS (SELECT substr(b, 1, 5) AS b, sha256(string_agg(h, '' ORDER BY b)) AS h, sum(c) AS c FROM d GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY b)) AS corpus_hash, CAST(sum(c) AS BIGINT) AS n FROM h")
 def corpus_hash(spark, sf):
-    """A tree of digests: rows, then buckets of the order, then one."""
-    rows = C.papers(spark, sf).select("date_id", F.substring("date_id", 1, 5).alias("b"), F.sha2(F.concat("date_id", F.lit("\x1f"), "text"), 256).alias("h"))
+    """A tree of digests: rows, then days, months and years of the order, then one."""
+    rows = C.papers(spark, sf).select("date_id", F.substring("date_id", 1, 7).alias("b"), F.sha2(F.concat("date_id", F.lit("\x1f"), "text"), 256).alias("h"))
     join = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda s: s["h"]), ""), 256).alias("h")
-    buckets = rows.groupBy("b").agg(join("date_id"), F.count(F.lit(1)).alias("c"))
-    return buckets.agg(join("b"), F.sum("c").alias("n")).select(F.col("h").alias("corpus_hash"), "n")
+    days = rows.groupBy("b").agg(join("date_id"), F.count(F.lit(1)).alias("c"))
+    months = days.withColumn("m", F.substring("b", 1, 5)).groupBy("m").agg(join("b"), F.sum("c").alias("c"))
+    return months.agg(join("m"), F.sum("c").alias("n")).select(F.col("h").alias("corpus_hash"), "n")
 
 
 # --- retrieval -----------------------------------------------------------------------

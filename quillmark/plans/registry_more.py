@@ -8,7 +8,7 @@ from quillmark.config import RetrievalConfig
 from quillmark.functions import answers, cleaning, references, replies
 from quillmark.operators import chunking, dense, lexical, reports, results, search_modes
 from quillmark.plans import corpus as C
-from quillmark.plans.registry import DENSE, DOCS, HYBRID, LINES, ORACLES, QUERIES, UNITS, _HAS, _HOLES, _R, _COMPARING, _SCRIPTURE, _hybrid, _vector_queries, bm25_sql, query, words_sql
+from quillmark.plans.registry import DENSE, DOCS, HYBRID, LINES, ORACLES, QUERIES, UNITS, _HAS, _HOLES, _R, _COMPARING, _SCRIPTURE, _hybrid, _vector_queries, bm25_sql, count_sql, query, words_sql
 from quillmark.sources import pages, tables
 from quillmark.sources.workspace import Workspace
 from quillmark.streaming import buffers
@@ -278,6 +278,23 @@ def paragraphize(spark, sf):
     return chunking.parse_documents(rows)
 
 
+@query(f"WITH {LINES}, w AS (SELECT date_id, {count_sql('text')} AS n FROM paras) SELECT date_id, CAST(sum(n) AS BIGINT) AS words, 1 AS tails, true AS in_limits FROM w WHERE n > 0 GROUP BY 1")
+def chunk_totals(spark, sf):
+    """No word is lost in packing, each document has one last chunk, and no other is out of the limits."""
+    chunks = chunking.chunk_documents(C.paragraphs(spark, sf))
+    fine = F.col("is_tail") | F.col("word_count").between(260, 380)
+    return chunks.groupBy("date_id").agg(F.sum("word_count").cast("long").alias("words"), F.count_if("is_tail").cast("int").alias("tails"), F.bool_and(fine).alias("in_limits"))
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def ann_recall(spark, sf):
+    """Whether the cells give nine tenths of the exact neighbours of all queries."""
+    exact = dense.search(C.vectors(spark, sf), _vector_queries(spark, sf)).select("query_id", "vec_id")
+    near = QUERIES["ann_search"](spark, sf).select("query_id", "vec_id", F.lit(True).alias("met"))
+    both = exact.join(near, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.avg(F.coalesce(F.col("met"), F.lit(False)).cast("double")) >= 0.9).alias("enough"))
+
+
 # --- sources and streams -----------------------------------------------------------------
 
 

@@ -116,7 +116,8 @@ def word_counts(spark, sf):
 
 @query(f"WITH {DOCS} SELECT term, count(*) AS n FROM (SELECT unnest({words_sql('text')}) AS term FROM docs) GROUP BY 1")
 def tokenize_terms(spark, sf):
-    return C.papers(spark, sf).select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    words = C.papers(spark, sf).select(T.tokens(F.col("text")).alias("words"))
+    return lexical.exploded(words).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=[\"'']([^\"'']+)[\"'']', 1)) AS href FROM pages")
@@ -202,13 +203,12 @@ _TERMS = f"terms0 AS (SELECT doc_id, unnest({words_sql('text')}) AS term FROM do
 @query(f"WITH {DOCS}, {_TERMS} SELECT term, df, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1), 6) AS idf FROM dfs, (SELECT count(*) AS n FROM docs)")
 def bm25_term_stats(spark, sf):
     p = C.papers(spark, sf)
-    return lexical.term_stats(lexical.term_counts(p, "doc_id"), p.count()).select("term", "df", *_R("idf"))
+    return lexical.document_frequencies(p).withColumn("idf", lexical.idf(p.count())).select("term", "df", *_R("idf"))
 
 
 @query(f"WITH {DOCS}, {_TERMS} SELECT term, df FROM dfs ORDER BY df DESC, term LIMIT 200")
 def vocab_top200(spark, sf):
-    counts = lexical.term_counts(C.papers(spark, sf), "doc_id")
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(200)
+    return lexical.document_frequencies(C.papers(spark, sf)).orderBy(F.desc("df"), "term").limit(200)
 
 
 @query(f"WITH {DOCS} SELECT count(*) AS n, CAST(sum(dl) AS BIGINT) AS total, round(avg(dl), 6) AS avgdl FROM (SELECT len({words_sql('text')}) AS dl FROM docs)")

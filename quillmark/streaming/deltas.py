@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions import text as T
+from quillmark.operators import lexical
 
 
 def fold_deltas(rows: DataFrame) -> DataFrame:
@@ -38,7 +38,6 @@ def index_stream(documents: DataFrame, target: str, checkpoint: str):
     which a repeated batch overwrites; returns the started query."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        lexical.term_counts(batch, "doc_id").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -170,3 +170,13 @@ def test_ann_search_recall(spark, sf):
     recall = exact.join(found, ["query_id", "vec_id"]).count() / exact.count()
     print(f"ann_search recall@25 on {sf}: {recall:.4f}")
     assert recall >= 0.9
+
+
+def test_words_are_counted_with_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, "B c"), (3, None), (4, "")], "doc_id int, text string")
+    counts = lexical.term_counts(rows, "doc_id")
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 2), (1, "b", 1), (2, "b", 1), (2, "c", 1)]
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    # the final plan follows the initial one where it is adaptive
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1 and "size(" not in plan
+    assert sorted(map(tuple, lexical.document_frequencies(rows).collect())) == [("a", 1), ("b", 2), ("c", 1)]

@@ -18,7 +18,7 @@ def _shuffled(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data here")
-@pytest.mark.parametrize("name", ["exact_match_promotion", "flat_hits", "llm_chunks", "neighbor_expand", "refusal", "rerank_apply", "retrieval_result", "ui_chunks", "collate_top8", "hybrid_retrieve", "language_report", "rrf_fuse", "source_overlap"])
+@pytest.mark.parametrize("name", ["exact_match_promotion", "flat_hits", "llm_chunks", "neighbor_expand", "refusal", "rerank_apply", "retrieval_result", "ui_chunks", "collate_top8", "hybrid_retrieve", "language_report", "rrf_fuse", "source_overlap", "signals"])
 def test_retrieval_shuffles_less_than_half_its_input(spark, name):
     before = _shuffled(spark)
     registry.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
